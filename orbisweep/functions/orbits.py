@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from .vectors import add, cols, cross, dot, norm, scale, sub
+from .vectors import cols, cross, dot, norm, scale, sub
 
 R = ("x", "y", "z")
 V = ("vx", "vy", "vz")
@@ -108,51 +108,6 @@ def with_acceleration(df: DataFrame, r=R, moon=("mx", "my", "mz"), out=("ax", "a
     )
 
 
-def with_rk4_step(
-    df: DataFrame,
-    dt: Column,
-    moon_start,
-    moon_mid,
-    moon_end,
-    state=R + V,
-    out=("nx", "ny", "nz", "nvx", "nvy", "nvz"),
-) -> DataFrame:
-    """Add the state one Runge-Kutta step later; the Moon columns are named triples."""
-    keep = df.columns
-    r0, v0 = cols(*state[:3]), cols(*state[3:])
-    df = df.withColumn("_h", dt)
-    h = F.col("_h")
-    velocities = [v0]
-    accelerations = []
-    for stage, (moon, step) in enumerate(
-        [(moon_start, None), (moon_mid, h / 2), (moon_mid, h / 2), (moon_end, h)]
-    ):
-        pos = (f"_rx{stage}", f"_ry{stage}", f"_rz{stage}")
-        acc = (f"_ax{stage}", f"_ay{stage}", f"_az{stage}")
-        if step is None:
-            df = df.withColumns(dict(zip(pos, r0)))
-        else:
-            vel = (f"_vx{stage}", f"_vy{stage}", f"_vz{stage}")
-            df = df.withColumns(
-                {
-                    **dict(zip(pos, add(r0, scale(velocities[-1], step)))),
-                    **dict(zip(vel, add(v0, scale(accelerations[-1], step)))),
-                }
-            )
-            velocities.append(cols(*vel))
-        df = with_acceleration(df, pos, moon, acc)
-        accelerations.append(cols(*acc))
-
-    def blend(k):
-        return [
-            (k[0][n] + k[1][n] * F.lit(2.0) + k[2][n] * F.lit(2.0) + k[3][n]) * (h / F.lit(6.0))
-            for n in range(3)
-        ]
-
-    moved = add(r0, blend(velocities)) + add(v0, blend(accelerations))
-    return df.select(*keep, *[c.alias(n) for c, n in zip(moved, out)])
-
-
 def with_elements(df: DataFrame) -> DataFrame:
     """Add osculating a, e, inc_deg, perigee_alt, apogee_alt and period_min."""
     keep = df.columns

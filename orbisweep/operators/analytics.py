@@ -126,7 +126,7 @@ def catalog_fate(final: DataFrame, initial: DataFrame) -> DataFrame:
 def rcs_type_pivot(objects: DataFrame) -> DataFrame:
     kinds = C.OBJECT_TYPES
     return (
-        objects.groupBy(text.rcs_key(F.col("rcs")).alias("rcs")).pivot("type", kinds).agg(F.count("*"))
+        objects.groupBy(text.rcs_key(F.col("rcs")).alias("rcs")).pivot("type", kinds).agg(F.count(F.lit(1)))
         .select("rcs", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(k.lower().replace(" ", "_")) for k in kinds])
     )
 

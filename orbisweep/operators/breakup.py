@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
-from ..functions import orbits, rng, sbm, text
+from ..functions import rng, sbm, text
 from ..functions.vectors import cols, cross, dot, norm, scale, sub
 from ..schemas import OBJECT_COLUMNS, STATE
 from .ordering import prefix_sum
+from .propagate import step_rows
 
 PARENT = ["idx", "name", "mass_kg", "size_m", *STATE]
 
@@ -161,16 +162,7 @@ def number_fragments(fragments: DataFrame) -> DataFrame:
 
 def settle(fragments: DataFrame, epoch_jd: float) -> DataFrame:
     """Carry fragments from birth to the end of the step in one Runge-Kutta step."""
-    columns = fragments.columns
-    out = fragments
-    for n, part in enumerate((0.0, 0.5, 1.0)):
-        jd = orbits.julian_date(epoch_jd, F.col("t") + F.lit(part) * F.col("remaining_s"))
-        out = orbits.with_moon(out, jd, (f"m{n}x", f"m{n}y", f"m{n}z"))
-    moons = [(f"m{n}x", f"m{n}y", f"m{n}z") for n in range(3)]
-    out = orbits.with_rk4_step(out, F.col("remaining_s"), *moons)
-    moved = F.col("remaining_s") > 0
-    settled = {c: F.when(moved, F.col(f"n{c}")).otherwise(F.col(c)) for c in STATE}
-    return out.select(*[settled[c].alias(c) if c in settled else F.col(c) for c in columns])
+    return step_rows(fragments, epoch_jd, "t", "remaining_s")
 
 
 def fragments_of(events: DataFrame, cfg: BreakupConfig) -> DataFrame:

@@ -131,6 +131,34 @@ def advance(objects: DataFrame, epoch_jd: float, dt: float, first_step: int, ste
     return spread(objects).mapInArrow(run, schema)
 
 
+def step_rows(df: DataFrame, epoch_jd: float, t: str, duration: str) -> DataFrame:
+    """Move every row's state by its own duration from its own instant, in one step.
+
+    `t` and `duration` name columns in seconds; rows with no duration left stay as they are. A
+    Runge-Kutta step written as nested expressions would be copied into every filter that
+    Catalyst pushes below it, so the arithmetic runs on Arrow batches instead.
+    """
+    columns = df.columns
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            r = np.stack([_column(batch, c) for c in STATE[:3]]).astype(float)
+            v = np.stack([_column(batch, c) for c in STATE[3:]]).astype(float)
+            h = _column(batch, duration).astype(float)
+            jd = epoch_jd + _column(batch, t) / C.SECONDS_PER_DAY
+            moons = [kernels.moon_position(jd + f * h / C.SECONDS_PER_DAY) for f in (0.0, 0.5, 1.0)]
+            nr, nv = kernels.rk4_step(r, v, h, *moons)
+            moved = dict(zip(STATE, np.concatenate([np.where(h > 0, nr, r), np.where(h > 0, nv, v)])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(moved[c]) if c in moved else batch.column(batch.schema.get_field_index(c)) for c in columns],
+                names=columns,
+            )
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sample_states(objects: DataFrame, epoch_jd: float, dt: float, steps: int, every: int, first_step: int = 0, include_start: bool = True) -> DataFrame:
     """States at every `every`-th step of a run: step, t_s, idx, x..vz, alive."""
     moons = _moon_table(epoch_jd, dt, first_step, steps)

@@ -15,7 +15,14 @@ from ..operators.masses import area_column, default_mass_column
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the given tables; timestamps without zone are taken as UTC session time."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return zoned(rows)
+
+
+def zoned(rows: DataFrame) -> DataFrame:
+    naive = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return rows.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else rows
 
 
 def _angle(k: Column, factor: int, modulus: int, full: float) -> Column:

@@ -30,18 +30,18 @@ def request_window(target: Column, days: int = C.GP_WINDOW_DAYS) -> tuple[Column
 
 
 def parse_epoch(records: DataFrame) -> DataFrame:
-    """Add `norad_id` and `epoch`; the fraction of a second is cut off."""
+    """Add `norad_id` and `epoch_ts`; the fraction of a second is cut off."""
     return records.withColumns(
         {
             "norad_id": text.trim_blanks(F.col("NORAD_CAT_ID")),
-            "epoch": F.try_to_timestamp(F.substring_index("EPOCH", ".", 1), F.lit(EPOCH_FORMAT)),
+            "epoch_ts": F.try_to_timestamp(F.substring_index("EPOCH", ".", 1), F.lit(EPOCH_FORMAT)),
         }
     )
 
 
 def window_filter(records: DataFrame, target: Column, days: int = C.GP_WINDOW_DAYS) -> DataFrame:
     start, end = request_window(target, days)
-    day = F.to_date("epoch")
+    day = F.to_date("epoch_ts")
     return parse_epoch(records).where((day >= start) & (day <= end))
 
 
@@ -52,18 +52,18 @@ def latest_before(records: DataFrame, target: Column, tie: list[str]) -> DataFra
     more than any other.
     """
     parsed = parse_epoch(records).where(
-        F.col("norad_id").isNotNull() & F.col("epoch").isNotNull() & (F.col("epoch") <= target)
+        F.col("norad_id").isNotNull() & F.col("epoch_ts").isNotNull() & (F.col("epoch_ts") <= target)
     )
     body = [c for c in parsed.columns if c not in ("norad_id", "NORAD_CAT_ID")]
     # newest first, then smallest tie: the smallest (-epoch, tie)
-    key = F.struct((-F.unix_micros("epoch")).alias("age"), *tie)
+    key = F.struct((-F.unix_micros("epoch_ts")).alias("age"), *tie)
     return parsed.groupBy("norad_id").agg(F.min_by(F.struct(*body), key).alias("r")).select("norad_id", "r.*")
 
 
 def skip_counts(records: DataFrame, target: Column) -> DataFrame:
     """Records that are malformed, in the future, or usable."""
-    bad = F.col("norad_id").isNull() | F.col("epoch").isNull()
-    late = ~bad & (F.col("epoch") > target)
+    bad = F.col("norad_id").isNull() | F.col("epoch_ts").isNull()
+    late = ~bad & (F.col("epoch_ts") > target)
     return parse_epoch(records).agg(
         F.count_if(bad).alias("skipped_bad"),
         F.count_if(F.coalesce(late, F.lit(False))).alias("skipped_future"),
