@@ -17,6 +17,7 @@ from .. import constants as C
 from ..functions import rng, sbm, text
 from ..functions.vectors import cols, cross, dot, norm, scale, sub
 from ..schemas import OBJECT_COLUMNS, STATE
+from ..session import materialize
 from .ordering import prefix_sum
 from .propagate import step_rows
 
@@ -55,16 +56,25 @@ def with_energy(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     return out.withColumn("expected_fragments", sbm.expected_fragments(F.col("sbm_mass_kg"), cfg.lc_m))
 
 
+def with_count(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
+    """Add `drawn`, the Poisson number of fragments, and write the events down.
+
+    The table keeps the count from being worked out again in every filter that Catalyst derives
+    from the explode below; it has one row per breakup.
+    """
+    count = rng.poisson(F.col("expected_fragments"), cfg.seed, F.col("event"), 0, C.MAX_FRAGMENTS_PER_EVENT)
+    return materialize(events.withColumn("drawn", count), "events")
+
+
 def draw_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
-    """Every fragment the count law produces, before mass budget and escape are applied.
+    """Every fragment of counted events, before mass budget and escape are applied.
 
     One row per (event, k): side (0 target, 1 projectile), size, A/m, mass and birth state.
     Rows come from an explode and random numbers from digests, so the work of one large event
     is as parallel as the row count allows after the shuffle that follows.
     """
-    count = rng.poisson(F.col("expected_fragments"), cfg.seed, F.col("event"), 0, C.MAX_FRAGMENTS_PER_EVENT)
-    rows = events.withColumn("drawn", count).where("drawn > 0")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("drawn"))))
+    slots = F.posexplode(F.array_repeat(F.lit(True), F.col("drawn"))).alias("_pos", "_one")
+    rows = events.select("*", slots).withColumn("k", F.col("_pos") + 1)
     rows = rows.withColumns({f"_d{s}": rng.digest(cfg.seed, F.col("event"), F.col("k"), s) for s in range(1, 6)})
     rows = rows.withColumns(
         {f"_u{s}{w}": rng.uniform(F.col(f"_d{s}"), w) for s in range(1, 6) for w in (0, 1)}
@@ -166,8 +176,11 @@ def settle(fragments: DataFrame, epoch_jd: float) -> DataFrame:
 
 
 def fragments_of(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
-    """Fragments at birth that their parents can pay for; `escaped` flags unbound ones."""
-    return mark_escapes(within_budget(draw_fragments(events, cfg)))
+    """Fragments of counted events that their parents can pay for, at birth and written down.
+
+    `escaped` flags the unbound ones.
+    """
+    return materialize(mark_escapes(within_budget(draw_fragments(events, cfg))), "fragments")
 
 
 def as_objects(fragments: DataFrame, epoch_jd: float, first_idx: int, first_id: int) -> DataFrame:

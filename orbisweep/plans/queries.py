@@ -673,13 +673,17 @@ def escape_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+def _counted(spark, sf):
+    return B.with_count(_events(spark, sf), BREAKUP)
+
+
 def _fragments(spark, sf):
-    return B.fragments_of(_events(spark, sf), BREAKUP)
+    return B.fragments_of(_counted(spark, sf), BREAKUP)
 
 
 @query
 def breakup_draws(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = B.draw_fragments(_events(spark, sf), BREAKUP)
+    drawn = B.draw_fragments(_counted(spark, sf), BREAKUP)
     return drawn.groupBy("event").agg(
         F.count("*").alias("n"), rnd(F.sum("size_m"), 5).alias("size_sum"), rnd(F.max("mass_kg"), 5).alias("heaviest")
     )
@@ -687,7 +691,7 @@ def breakup_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mass_budget(spark: SparkSession, sf: str) -> DataFrame:
-    kept = B.within_budget(B.draw_fragments(_events(spark, sf), BREAKUP))
+    kept = B.within_budget(B.draw_fragments(_counted(spark, sf), BREAKUP))
     return kept.groupBy("event", F.col("side").cast("bigint").alias("side")).agg(
         F.count("*").alias("n"), rnd(F.sum("mass_kg"), 4).alias("mass_kg")
     )
@@ -719,7 +723,7 @@ def fragment_states(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def breakup_events(spark: SparkSession, sf: str) -> DataFrame:
-    events = _events(spark, sf)
+    events = _counted(spark, sf)
     report = B.event_report(events, B.fragments_of(events, BREAKUP))
     return report.select(
         "event", "target_idx", "projectile_idx", "target_name", "projectile_name",
@@ -730,7 +734,7 @@ def breakup_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def breakup_totals(spark: SparkSession, sf: str) -> DataFrame:
-    events = _events(spark, sf)
+    events = _counted(spark, sf)
     return B.breakup_totals(B.event_report(events, B.fragments_of(events, BREAKUP)))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
@@ -48,7 +48,7 @@ def run_to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
         .start()
     )
     handle.awaitTermination()
-    schema = stream.schema.add("batch", "int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
