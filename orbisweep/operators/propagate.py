@@ -92,8 +92,9 @@ def step_states(objects: DataFrame, epoch_jd: float, dt: float, first_step: int,
                     yield _batch(parts, names)
 
     source = objects.where("alive").select("idx", "alive", *STATE, *carry)
-    ddl = "step int, idx bigint, " + STATE_DDL + "".join(f", {c} bigint" for c in carry)
-    return spread(source).mapInArrow(run, ddl)
+    # never null: expressions over these columns compile without null checks
+    ddl = ", ".join(["step int", "idx bigint", *STATE_DDL.split(", "), *[f"{c} bigint" for c in carry]])
+    return spread(source).mapInArrow(run, ddl.replace(",", " NOT NULL,") + " NOT NULL")
 
 
 def _batch(parts, names):

@@ -494,16 +494,14 @@ def _conjunctions(spark, sf):
 
 @query
 def pair_filter(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = S.near_pairs(_states(spark, sf), SCREEN_DT, SCREEN, _plan(spark, sf))
+    pairs = S.near_pairs(_states(spark, sf), SCREEN_DT, SCREEN, _plan(spark, sf), SCREEN_STEPS)
     return pairs.select(F.col("step").cast("bigint").alias("step"), "i", "j", "outcome")
 
 
 @query
 def tca_refine(spark: SparkSession, sf: str) -> DataFrame:
     # a threshold far out keeps every refined pair whose minimum lies inside the step
-    pairs = S.near_pairs(_states(spark, sf), SCREEN_DT, SCREEN, _plan(spark, sf))
-    wide = S.ScreeningConfig(threshold_km=1e9)
-    found = S.refine(pairs, EPOCH, SCREEN_DT, wide)
+    found = S.approaches(_states(spark, sf), EPOCH, SCREEN_DT, SCREEN, _plan(spark, sf), SCREEN_STEPS, keep_km=1e9)
     return found.select(
         F.col("step").cast("bigint").alias("step"), "i", "j", rnd("t", 2).alias("t"),
         rnd("miss_km", 6).alias("miss_km"), rnd("v_rel_km_s", 5).alias("v_rel_km_s"),
