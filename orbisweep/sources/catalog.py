@@ -45,9 +45,11 @@ def parse_catalog(lines: DataFrame) -> DataFrame:
     fields = F.split(value, r"\|")
     # a separator at the very end opens no further field
     count = F.size(fields) - F.when(value.endswith("|"), 1).otherwise(0)
+    # a one-element explode: filters on what is parsed below stay above it, so that a line is
+    # split once and not once per field that a filter looks at
     rows = lines.where((value != "") & ~value.startswith("#")).select(
-        "line_no", fields.alias("f"), count.alias("n")
-    )
+        "line_no", F.explode(F.array(F.struct(fields.alias("f"), count.alias("n")))).alias("s")
+    ).select("line_no", "s.f", "s.n")
     item = lambda n: text.trim_blanks(F.get("f", F.lit(n)))
     parsed = rows.select(
         F.col("line_no").alias("idx"),
