@@ -95,14 +95,14 @@ def test_fates_match_a_plain_loop(spark):
 
 def test_batches_do_not_change_a_run(spark, objects):
     def final(batch):
-        cfg = simulate.RunConfig(duration_s=180.0, dt=60.0, batch_steps=batch, breakup=B.BreakupConfig(),
-                                 screening=S.ScreeningConfig(radius_scale=6000.0))
+        cfg = simulate.RunConfig(duration_s=120.0, dt=60.0, batch_steps=batch, breakup=B.BreakupConfig(),
+                                 screening=S.ScreeningConfig(radius_scale=30000.0))
         done = simulate.run(objects, cfg)
         rows = done.final.select("idx", "event", "alive", *[F.round(c, 6).alias(c) for c in STATE])
         return done, {tuple(r) for r in rows.collect()}
 
     one, a = final(1)
-    many, b = final(3)
+    many, b = final(2)
     assert one.breakups is not None and one.breakups.count() > 0
     assert a == b
     assert one.population == many.population
