@@ -74,19 +74,25 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     ci, si, co, so, cu, su = (F.col(n) for n in ("_ci", "_si", "_co", "_so", "_cu", "_su"))
     kind, rcs = F.col("type"), F.col("rcs")
     mass = default_mass_column(rcs, kind)
-    return trig.select(
-        "idx",
-        F.col("idx").alias("id"),
-        "name",
-        "country",
-        "rcs",
-        "type",
+    state = [
         (a * (co * cu - so * su * ci)).alias("x"),
         (a * (so * cu + co * su * ci)).alias("y"),
         (a * (su * si)).alias("z"),
         (s * (-(co * su) - so * cu * ci)).alias("vx"),
         (s * (co * cu * ci - so * su)).alias("vy"),
         (s * (cu * si)).alias("vz"),
+    ]
+    # a one-element explode stands for the boundary that a stored catalogue would have: without
+    # it, every filter on a coordinate would repeat the trigonometry above
+    placed = trig.select("idx", "name", "country", "rcs", "type", F.explode(F.array(F.struct(*state))).alias("o"))
+    return placed.select(
+        "idx",
+        F.col("idx").alias("id"),
+        "name",
+        "country",
+        "rcs",
+        "type",
+        "o.*",
         F.lit(True).alias("alive"),
         text.size_from_rcs(rcs).alias("size_m"),
         mass.alias("mass_kg"),
@@ -142,7 +148,8 @@ def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 97 == 0, F.concat(k.cast("string"), F.lit(" | short | row")))
         .otherwise(full)
     )
-    return o.select(k.alias("line_no"), value.alias("value"))
+    # a one-element explode keeps the readers' filters from repeating the whole text expression
+    return o.select(k.alias("line_no"), F.explode(F.array(value)).alias("value"))
 
 
 def gp_history(spark: SparkSession, sf_dir: str) -> DataFrame:
