@@ -20,11 +20,13 @@ from ..sources.derived import zoned
 EPOCH_S = 1704067200.0
 
 
-def open_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over a folder of Parquet files, or over one file of a folder."""
+def open_events(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Stream over a folder of Parquet files, or over one file of a folder.
+
+    The number of files per micro-batch bounds what one key can bring to its state at a time.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         reader = reader.option("pathGlobFilter", place.getName())
