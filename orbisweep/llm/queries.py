@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, shards
+from . import fingerprints, mixing, shards
 from .common import table
 
 QUERIES = {}
@@ -15,6 +15,11 @@ def query(fn):
     return fn
 
 
+@query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf, "documents"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
