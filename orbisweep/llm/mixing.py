@@ -195,10 +195,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .select("rank", "block", "mix_row", (F.greatest("start", F.col("block") * width) - F.col("start")).alias("first_word"),
                 (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * width) - F.greatest("start", F.col("block") * width)).alias("words"))
     )
-    uses = fragments.join(slots, ["rank", "block"]).select("mix_row", "shard", "slot", "epoch", "first_word", "words")
+    # the planner takes a few shard numbers for a few slots and would broadcast them
+    uses = fragments.join(slots.hint("merge"), ["rank", "block"]).select("mix_row", "shard", "slot", "epoch", "first_word", "words")
     # for the sums, a block's uses are counted before the join: one row per block
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    taken = fragments.join(times, ["rank", "block"]).groupBy("mix_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = fragments.join(times.hint("merge"), ["rank", "block"]).groupBy("mix_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     about = sources.select("source", "source_size", "target")
     documents = (
         laid.join(about, laid["__source"].eqNullSafe(about["source"])).drop(about["source"])
