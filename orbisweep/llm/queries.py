@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, shards
+from . import fingerprints, mixing, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -15,6 +15,12 @@ def query(fn):
     return fn
 
 
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf, "documents"))
@@ -32,5 +38,18 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: A hexadecimal SHA-1 as base 32: five bits at a time, from two hexadecimal digits.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((((instr('0123456789abcdef', substr(x, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
+    + greatest(instr('0123456789abcdef', substr(x, (5 * i // 4 + 2)::INT, 1)) - 1, 0)) >> (3 - i % 4)::INT) & 31)::INT + 1, 1)), '')"""
+
+
 def sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m FROM p GROUP BY h),
+s AS (SELECT page_id, m, strlen(p.h) AS n, sha1(p.h) AS x FROM p JOIN f ON p.h = f.h)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> m THEN m END AS refers_to
+FROM s""",
+    }
