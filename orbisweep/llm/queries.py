@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, shards, warc
+from . import fingerprints, mixing, shards, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -21,6 +21,13 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf, "labels"))
+    return toxicity.scored(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf, "documents"))
