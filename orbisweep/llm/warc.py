@@ -29,6 +29,7 @@ VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 _FLUSHED = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = _FLUSHED.compress(b"") + _FLUSHED.flush()
 FILE_RECORDS = 20_000
+STEP = 16 << 10
 
 
 def base32_sha1(data: bytes) -> str:
@@ -143,14 +144,16 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    opened = zlib.decompressobj(31)
+    opened, body, read = zlib.decompressobj(31), [], at
     try:
-        body = opened.decompress(memoryview(data)[at:])
+        while not opened.eof and read < len(data):  # in steps: what is left over after the end is copied
+            body.append(opened.decompress(data[read: read + STEP]))
+            read += STEP
     except zlib.error as e:
         raise Damaged(f"gzip member: {str(e)[:60]}") from None
     if not opened.eof:
         raise Damaged("gzip member does not end")
-    return body, len(data) - len(opened.unused_data)
+    return b"".join(body), min(read, len(data)) - len(opened.unused_data)
 
 
 def _at(data: bytes, at: int) -> tuple[dict[str, str] | None, bytes, int]:
