@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Lexicon(exceptions=exceptions)
     counts = rows.mapInArrow(_counted, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     tried = counts.where("toxic > 0").count()
-    least = 2 * math.log(max(2, tried)) + 6
+    least = 2 * math.log(max(2, tried))
     # only these can reach the threshold; their number is bounded by the sample
     found = counts.where(F.col("toxic") * F.lit(2 * math.log((toxic + clean) / toxic)) >= least).where(
         F.col("toxic") * F.lit(clean) > F.col("clean") * F.lit(3.0 * toxic)).toPandas()

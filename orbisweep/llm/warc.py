@@ -30,6 +30,7 @@ _FLUSHED = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = _FLUSHED.compress(b"") + _FLUSHED.flush()
 FILE_RECORDS = 20_000
 STEP = 16 << 10
+LEVEL = 4
 
 
 def base32_sha1(data: bytes) -> str:
@@ -41,19 +42,19 @@ def _line(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
 
 
-def record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None,
-           refers_row: int | None, date: str) -> bytes:
-    """One record up to and without the final CR LF CR LF; a revisit where `refers_row` is given."""
-    name = lambda p, r: f"<urn:page:{'none' if p is None else p}:{r}>"
+def record(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, revisit: bool,
+           date: str) -> bytes:
+    """One record up to and without the final CR LF CR LF. Rows with equal key, url and payload differ in `copy`."""
+    name = lambda p, n: f"<urn:page:{'none' if p is None else p}:{digest[:10]}:{n}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_row is None else 'revisit'}", f"WARC-Record-ID: {name(page_id, row)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id, copy)}",
         f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url) if url else f'urn:page:{page_id}'}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
-    if refers_row is not None:
-        lines += [f"WARC-Refers-To: {name(refers_to, refers_row)}",
+    if revisit:
+        lines += [f"WARC-Refers-To: {name(refers_to, 0)}",
                   "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return ("\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block
 
@@ -65,9 +66,9 @@ def _records(compress: bool, date: str):
                 out = []
                 for r in batch.slice(lo, 512).to_pylist():
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                    body = record(r["page_id"], r["row"], r["url"], r["payload"] or b"", digest, r["bytes"], r["refers_to"], r["refers_row"], date)
+                    body = record(r["page_id"], r["copy"], r["url"], r["payload"] or b"", digest, r["bytes"], r["refers_to"], r["revisit"], date)
                     if compress:
-                        member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         body = member.compress(body + b"\r\n\r\n") + member.flush()
                         body = (body if body[-1] == 0 else body + EMPTY_MEMBER)[:-1]
                     out.append(body)
@@ -84,27 +85,33 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     key is the response (null keys last; of repeated rows, one); the others refer to it. Equality is that of
     SHA-1 and length. Other columns are ignored; an empty table writes an empty archive.
 
-    Payloads move by row, never by content: a payload that a third of all pages share meets itself only as digests.
+    Which row is the response is settled on digests alone, so a payload that a third of all pages share never meets
+    itself; then only the responses' payloads are picked, by a key unique to them.
     """
-    laid = materialize(
-        pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
-                     F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
-        .select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row")),
-        "pages",
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+                        F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumn("same", F.xxhash64("page_id", "url", "digest"))
+    # one row per different page and the number of its copies
+    groups = materialize(
+        rows.select("page_id", "url", "digest", "same", F.octet_length("payload").cast("long").alias("bytes"))
+        .groupBy("page_id", "url", "digest", "same", "bytes").agg(F.count("*").alias("copies")),
+        "warc-pages",
     )
-    narrow = laid.select("page_id", "url", "digest", "bytes", "row")
-    first = narrow.groupBy("digest", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "row")).alias("f")).select(
-        "digest", "bytes", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row")
+    first = groups.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "url", "same")).alias("f")).select(
+        "digest", F.col("f.page_id").alias("first_id"), F.col("f.same").alias("first_same")
     )
-    none = F.lit(None).cast("long")
-    columns = ["page_id", "row", "url", "payload", "digest", "bytes", "refers_to", "refers_row"]
-    responses = laid.join(first.select(F.col("first_row").alias("row")), "row", "left_semi").withColumns({"refers_to": none, "refers_row": none})
-    revisits = narrow.join(first, ["digest", "bytes"]).where("row <> first_row").select(
-        "*", F.lit(None).cast("binary").alias("payload"), F.col("first_id").alias("refers_to"), F.col("first_row").alias("refers_row")
+    columns = ["page_id", "copy", "url", "payload", "digest", "bytes", "refers_to", "revisit"]
+    responses = rows.join(first.select("digest", F.col("first_same").alias("same")), ["digest", "same"], "left_semi").dropDuplicates(["digest", "same"]).select(
+        "*", F.lit(0).cast("long").alias("copy"), F.octet_length("payload").cast("long").alias("bytes"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit")
     )
-    rows = responses.select(*columns).unionByName(revisits.select(*columns)).mapInArrow(_records(compress, date), "record binary")
+    own = F.when(F.col("same") == F.col("first_same"), 1).otherwise(0).cast("long")  # this copy is the response
+    revisits = groups.join(first, "digest").where(F.col("copies") > own).select(
+        "*", F.explode(F.sequence(own, F.col("copies") - 1)).alias("copy"), F.lit(None).cast("binary").alias("payload"),
+        F.col("first_id").alias("refers_to"), F.lit(True).alias("revisit"),
+    )
+    out = responses.select(*columns).unionByName(revisits.select(*columns)).mapInArrow(_records(compress, date), "record binary")
     # the text writer writes a string's bytes as they are
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00" if compress else "\r\n\r\n").option(
+    out.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00" if compress else "\r\n\r\n").option(
         "maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
 
 
@@ -207,7 +214,7 @@ def parse(data: bytes) -> Iterator[dict]:
 
 def _page(name: str) -> int | None:
     part = name.strip("<>").split(":")
-    return int(part[2]) if len(part) == 4 and part[2] not in ("", "none") else None
+    return int(part[2]) if len(part) == 5 and part[2] not in ("", "none") else None
 
 
 def describe(found: dict, payloads: bool) -> dict:
