@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, shards, toxicity, warc
+from . import fingerprints, jaccard, mixing, shards, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -15,6 +15,11 @@ def query(fn):
     return fn
 
 
+@query
+def op3_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf, "pages"))
@@ -51,8 +56,26 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
     + greatest(instr('0123456789abcdef', substr(x, (5 * i // 4 + 2)::INT, 1)) - 1, 0)) >> (3 - i % 4)::INT) & 31)::INT + 1, 1)), '')"""
 
 
+#: All pairs that share a shingle, counted; components by reaching out from every document.
+_JACCARD = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = d.doc_id"""
+
+
 def sql() -> dict[str, str]:
     return {
+        "op3_jaccard": _JACCARD,
         "op4_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m FROM p GROUP BY h),
 s AS (SELECT page_id, m, strlen(p.h) AS n, sha1(p.h) AS x FROM p JOIN f ON p.h = f.h)
