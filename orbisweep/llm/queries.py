@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, mixing, shards, toxicity, warc
+from . import fingerprints, jaccard, mixing, pages, shards, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op5_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
