@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, jaccard, mixing, pages, shards, toxicity, warc
+from . import decontaminate, fingerprints, jaccard, licenses, mixing, pages, shards, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -15,6 +15,17 @@ def query(fn):
     return fn
 
 
+@query
+def op1_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"), licenses.templates(spark))
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("row_key")
+
+
 @query
 def op3_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
