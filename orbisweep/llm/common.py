@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import materialize, work_path
-
-__all__ = ["materialize", "work_path", "table", "numbered", "first_of_buckets"]
+from .. import session
+from ..session import work_path
+
+__all__ = ["materialize", "work_path", "table", "numbered"]
+#: Spark's own setting: shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """A written table in the shared folder in place of `df`; the shuffles behind it leave no files."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return session.materialize(df, label)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

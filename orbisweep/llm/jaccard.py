@@ -338,7 +338,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     heads = found.where(F.col("kind") == CENTRE).select("token", F.lit(0).alias("salt"), "size", "pos", "node")
     second = heads.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "pos", "node").mapInArrow(_stars(percent, True), FOUND)
     stars = found.where(F.col("kind") == LINK).select("node", "centre").union(second.where(F.col("kind") == LINK).select("node", "centre"))
-    pairs = materialize(stars.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    # a set is compared with the centre that it meets in most lists
+    pairs = materialize(
+        stars.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("lists")).groupBy(F.col("node").alias("a"))
+        .agg(F.max(F.struct("lists", "centre")).alias("m")).select("a", F.col("m.centre").alias("b")),
+        "stars",
+    )
     listed = found.where(F.col("kind") == LISTED).select("token", "size", "pos", "node")
 
     nodes = listed.select("node").union(pairs.select("a")).distinct()
