@@ -321,7 +321,8 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, texts: Da
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, node (a hash of the set), row_key (a hash of key and text).
+    """Per row: doc_id, n_shingles, component_id, component (a node, null for empty sets), node (a hash of the set), row_key
+    (a hash of key and text).
 
     A text with fewer words than a shingle has one shingle of all of them; null, empty and wordless texts have an
     empty set and are linked with nothing. Equal texts and repeated rows are linked. component_id is the smallest
@@ -362,6 +363,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     placed = materialize(
         sets.where("n > 0").join(final, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    some = placed.join(least, "component").select("doc_id", "n", "component_id", "node", "key")
-    none = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "node", "key")
-    return some.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", F.col("key").alias("row_key"))
+    some = placed.join(least, "component").select("doc_id", "n", "component_id", "component", "node", "key")
+    none = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "node", "key")
+    return some.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "node", F.col("key").alias("row_key"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest key, null keys last; of repeated rows one. Rows without words stay."""
+    found = join(docs, key, text, **options).where(F.col("component").isNotNull())
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("__row_key"))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(key), F.col(text)))
+    kept = keyed.where(~wordless).join(first, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return kept.select(*docs.columns).union(docs.where(wordless))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, jaccard, licenses, mixing, pages, shards, toxicity, warc
+from . import decontaminate, fingerprints, jaccard, licenses, lines, mixing, pages, shards, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -49,6 +49,12 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.scored(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op7_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return lines.without_boilerplate(docs).drop("source")
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf, "documents"))
@@ -92,6 +98,15 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM r GROUP BY a)
 def sql() -> dict[str, str]:
     return {
         "op3_jaccard": _JACCARD,
+        "op7_lines": r"""
+WITH l AS (SELECT doc_id, source, generate_subscripts(x, 1) AS ln, unnest(x) AS v
+           FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),
+t AS (SELECT *, regexp_replace(v, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g') AS w FROM l),
+b AS (SELECT w FROM t WHERE length(w) >= 15 GROUP BY w HAVING count(DISTINCT coalesce('=' || source, '')) >= 5),
+k AS (SELECT doc_id, count(*) AS n_lines, count(b.w) AS n_removed, string_agg(v, chr(10) ORDER BY ln) FILTER (WHERE b.w IS NULL) AS text
+      FROM t LEFT JOIN b ON t.w = b.w GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN k USING (doc_id)""",
         "op4_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m FROM p GROUP BY h),
 s AS (SELECT page_id, m, strlen(p.h) AS n, sha1(p.h) AS x FROM p JOIN f ON p.h = f.h)
