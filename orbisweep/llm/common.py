@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import session
 from ..session import work_path
 
-__all__ = ["materialize", "work_path", "table", "numbered"]
+__all__ = ["materialize", "work_path", "table", "numbered", "packed", "unpacked"]
 #: Spark's own setting: shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,6 +23,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def packed(docs: DataFrame, without: tuple[str, ...] | list[str] = (), keep: list[str] | None = None) -> Column:
+    """The columns of `docs` as one struct, so that none of their names meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in without])
+
+
+def unpacked(df: DataFrame, name: str) -> list[Column]:
+    """The columns of a struct made by `packed`."""
+    return [F.col(f"{name}.`{c}`") for c in df.schema[name].dataType.names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

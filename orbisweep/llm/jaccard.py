@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, packed, unpacked
 from .components import components
 from .texts import mixed, shingle_sets
 
@@ -373,6 +373,6 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     found = join(docs, key, text, **options).where(F.col("component").isNotNull())
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("__row_key"))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(key), F.col(text)))
-    kept = keyed.where(~wordless).join(first, "__row_key", "left_semi").dropDuplicates(["__row_key"])
-    return kept.select(*docs.columns).union(docs.where(wordless))
+    keyed = docs.select(packed(docs).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("__row_key"), wordless.alias("wordless"))
+    kept = keyed.where("NOT wordless").join(first, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return kept.select(*unpacked(kept, "doc")).union(docs.where(wordless))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, packed
 
 SKETCH_BITS = 10  # 1.04 / sqrt(2^10) = 3.3 % standard error
 MARGIN = 0.2  # six standard errors
@@ -61,14 +61,14 @@ def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text"
     found = occurrences(docs, text, site, row_key, least_chars)
     lines = materialize(spread(found, sites), "boilerplate")
     cut = found.join(lines.select("line"), "line", "left_semi").groupBy("row_key").agg(F.collect_set("at").alias("__cut"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*columns, row_key.alias("__row_key"))
-    joined = keyed.join(cut, keyed["__row_key"] == cut["row_key"], "left").withColumn("__lines", split_lines(F.col(text)))
+    keyed = docs.select(packed(docs, ("n_lines", "n_removed")).alias("doc"), F.col(text).alias("__text"), row_key.alias("row_key"))
+    joined = keyed.join(cut, "row_key", "left").withColumn("__lines", split_lines(F.col("__text")))
     kept = F.array_join(F.filter("__lines", lambda _, i: ~F.array_contains("__cut", i)), "\n")
     some = F.col("__cut").isNotNull()
-    has = F.char_length(F.coalesce(F.col(text), F.lit(""))) > 0
+    has = F.char_length(F.coalesce(F.col("__text"), F.lit(""))) > 0
+    names = joined.schema["doc"].dataType.names
     return joined.select(
-        *[F.when(some, kept).otherwise(F.col(text)).alias(text) if c == text else keyed[c] for c in columns],
+        *[F.when(some, kept).otherwise(F.col("__text")).alias(text) if c == text else F.col(f"doc.`{c}`") for c in names],
         F.when(has, F.size("__lines")).otherwise(0).cast("long").alias("n_lines"),
         F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
     )

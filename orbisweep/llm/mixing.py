@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize, numbered
+from .common import materialize, numbered, packed
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_PART = 4096
@@ -33,8 +33,8 @@ ROWS_PER_PART = 4096
 
 @dataclass(frozen=True)
 class Mix:
-    """sources: source, rank, source_size, target. documents: the given columns, size, source_size, target, taken,
-    `mix_row`. uses: mix_row, shard, slot, epoch, first_word, words: what each slot holds."""
+    """sources: source, rank, source_size, target. documents: doc (the given columns), size, source_size, target, taken,
+    mix_row. uses: mix_row, shard, slot, epoch, first_word, words: what each slot holds."""
 
     sources: DataFrame
     documents: DataFrame
@@ -155,17 +155,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null or wordless texts have size 0: they are in no block and taken 0 times. A null source is a
     source, last in order. Repeated rows and equal keys count each on their own. An empty table
-    gives an empty mix. Columns named like added ones are replaced.
+    gives an empty mix.
 
     One row per source comes to the driver: a mixture names its sources, and the weights are given per source.
     """
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "taken", "mix_row"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
     parts = max(1, -(-docs.count() // ROWS_PER_PART))
     content = F.xxhash64(F.col(key), F.col(text))
     laid = materialize(
-        docs.select(*kept, F.col(source).alias("__source"), F.col(key).alias("__key"), words_in(text).alias("size"), content.alias("__content"),
+        docs.select(packed(docs, (), keep).alias("doc"), F.col(source).alias("__source"), F.col(key).alias("__key"), words_in(text).alias("size"), content.alias("__content"),
                     F.pmod(content, F.lit(parts)).alias("__part"), F.monotonically_increasing_id().alias("mix_row")),
         "mix",
     )
@@ -204,7 +202,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     documents = (
         laid.join(about, laid["__source"].eqNullSafe(about["source"])).drop(about["source"])
         .join(taken, "mix_row", "left")
-        .select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "mix_row")
+        .select("doc", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "mix_row")
     )
     return Mix(sources, documents, uses)
 
@@ -218,12 +216,10 @@ def mixed_texts(mixed: Mix, text: str = "text", n_chars: str | None = "n_chars")
     spans = mixed.uses.groupBy("mix_row", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("__spans"), F.sum("words").alias("__words")
     )
-    docs = mixed.documents.drop("source_size", "target", "taken")
-    columns = [c for c in docs.columns if c not in ("mix_row", "size")]
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    own = F.col(f"doc.`{text}`")
+    words = F.regexp_extract_all(own, F.lit(WORD), F.lit(0))
     pieces = F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int"))))
-    cut = F.when(F.col("__words") == F.col("size"), F.col(text)).otherwise(F.array_join(pieces, " "))
-    out = docs.join(spans, "mix_row").withColumn(text, cut)
-    if n_chars in columns:
-        out = out.withColumn(n_chars, F.char_length(text).cast("bigint"))
-    return out.select(*columns)
+    cut = F.when(F.col("__words") == F.col("size"), own).otherwise(F.array_join(pieces, " "))
+    out = mixed.documents.select("doc", "size", "mix_row").join(spans, "mix_row").withColumn("__text", cut)
+    changed = {text: F.col("__text"), n_chars: F.char_length("__text").cast("bigint")}
+    return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in out.schema["doc"].dataType.names])

@@ -63,7 +63,7 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return mixing.mix(docs, keep=["doc_id"]).documents.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, keep=["doc_id"]).documents.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 @query

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, numbered
+from .common import materialize, numbered, packed, unpacked
 
 SIZE_OVERHEAD = 16
 
@@ -98,10 +98,10 @@ def shard(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "t
         "law": F.lit("key"),
         "region": region.cast("int"), "rack": rack.cast("int"), "shard": chosen.cast("int"), "grown_shard": later.cast("int"),
     }
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added and c != "slot"]
     laid = materialize(
-        docs.select(*kept, *[c.alias(n) for n, c in added.items()],
+        docs.select(packed(docs, [*added, "slot"], keep).alias("__doc"), *[c.alias(n) for n, c in added.items()],
                     F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")),
         "shards",
     )
-    return numbered(laid, ["shard"], "__part", [F.col("__row")], "slot").select(*kept, *added, "slot")
+    out = numbered(laid, ["shard"], "__part", [F.col("__row")], "slot")
+    return out.select(*unpacked(out, "__doc"), *added, "slot")

@@ -183,8 +183,7 @@ def _candidates(data: bytes, at: int) -> Iterator[int]:
             yield zipped
             zipped = data.find(MAGIC, zipped + 1)
         else:
-            if plain == 0 or data[plain - 1: plain] in (b"\n", b"\x00") or data[plain - 1] >= 0x80:
-                yield plain
+            yield plain  # anywhere: what was cut off before it need not end a line
             plain = data.find(VERSION, plain + 1)
 
 
