@@ -104,7 +104,8 @@ SBM_MASS_POWER = 0.75
 DEFAULT_LC_M = 0.10
 AREA_COEFFICIENT = 0.540424
 PROJECTILE_DENSITY_KG_M3 = 300.0
-MAX_FRAGMENTS_PER_EVENT = 200_000
+POISSON_BLOCK = 512.0  # a count of a larger mean is a sum of counts
+DRAWS_PER_CHUNK = 1000
 # piecewise linear parameters over log10(size): (x0, y0, x1, y1)
 AM_ALPHA = (-1.95, 0.0, 0.55, 1.0)
 AM_MU1 = (-1.1, -0.6, 0.0, -0.95)

@@ -175,25 +175,41 @@ def recent(events: DataFrame, n: int = C.RECENT_EVENTS) -> DataFrame:
     return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
 
 
+def time_block(ts: str, block_s: int) -> Column:
+    return F.floor(F.unix_seconds(ts) / F.lit(block_s)).cast("bigint")
+
+
 def ema_by_key(rows: DataFrame, key: str, ts: str, tie: str, value: str, keep: float = C.EMA_KEEP, block_s: int = 60) -> DataFrame:
     """Exponential moving average per key after its last row, seeded with the first positive value.
 
-    Values are durations, never negative. A block of rows acts on the average as e -> a*e + b
-    once it is seeded, so blocks are folded in parallel first and a key's blocks are chained
-    afterwards: a key with a third of the rows is still spread over its blocks.
+    Values are durations, never negative. Rows are folded per key and block of `block_s` seconds, then blocks are chained
+    (`ema_chain`): a key with a third of the rows is spread over its blocks.
+    """
+    row = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("v"))
+    blocks = rows.groupBy(key, time_block(ts, block_s).alias("block")).agg(F.collect_list(row).alias("items"))
+    return ema_chain(blocks, key, keep)
+
+
+def ema_chain(blocks: DataFrame, key: str, keep: float = C.EMA_KEEP, fan: int = 64) -> DataFrame:
+    """(key, block, items) -> key, ema.
+
+    A block acts on the average as e -> a*e + b once it is seeded, and gives `e` if it is not. Such steps compose, so blocks are
+    folded `fan` at a time, level by level; no array is longer than that, however long a key's history is.
     """
-    block = F.floor(F.unix_seconds(ts) / F.lit(block_s))
-    items = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("v"))))
     fresh = F.lit(1.0 - keep)
 
-    def fold(acc, r):
+    def add_row(acc, r):
         seeded = F.when(acc.e > 0, F.lit(keep) * acc.e + fresh * r.v).otherwise(r.v)
-        return F.struct(
-            (acc.a * F.lit(keep)).alias("a"), (acc.b * F.lit(keep) + fresh * r.v).alias("b"), seeded.alias("e")
-        )
+        return F.struct((acc.a * F.lit(keep)).alias("a"), (acc.b * F.lit(keep) + fresh * r.v).alias("b"), seeded.alias("e"))
+
+    def add_block(acc, r):
+        return F.struct((r.a * acc.a).alias("a"), (r.a * acc.b + r.b).alias("b"), F.when(acc.e > 0, r.a * acc.e + r.b).otherwise(r.e).alias("e"))
 
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("e"))
-    blocks = rows.groupBy(key, block.alias("_block")).agg(F.aggregate(items, start, fold).alias("f"))
-    chain = F.array_sort(F.collect_list(F.struct(F.col("_block").alias("at"), F.col("f").alias("f"))))
-    step = lambda e, r: F.when(e > 0, r.f.a * e + r.f.b).otherwise(r.f.e)
-    return blocks.groupBy(key).agg(F.aggregate(chain, F.lit(0.0), step).alias("ema"))
+    level = blocks.select(key, "block", F.aggregate(F.array_sort("items"), start, add_row).alias("f")).select(key, "block", "f.*")
+    for _ in range(4):  # 64^4 minutes are 32 years
+        level = level.groupBy(key, F.floor(F.col("block") / F.lit(fan)).alias("_up")).agg(
+            F.array_sort(F.collect_list(F.struct("block", "a", "b", "e"))).alias("steps")
+        ).select(key, F.col("_up").alias("block"), F.aggregate("steps", start, add_block).alias("f")).select(key, "block", "f.*")
+    steps = F.array_sort(F.collect_list(F.struct("block", "a", "b", "e")))
+    return level.groupBy(key).agg(F.aggregate(steps, start, add_block, lambda acc: acc.e).alias("ema"))

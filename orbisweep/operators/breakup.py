@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
@@ -29,6 +29,8 @@ class BreakupConfig:
     lc_m: float = C.DEFAULT_LC_M
     catastrophic_j_per_g: float = C.CATASTROPHIC_J_PER_G
     seed: int = 1
+    #: At most so many fragments per event; what that cuts is reported. None: as many as the model draws.
+    max_fragments: int | None = None
 
 
 def order_parents(pairs: DataFrame) -> DataFrame:
@@ -57,24 +59,37 @@ def with_energy(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
 
 
 def with_count(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
-    """Add `drawn`, the Poisson number of fragments, and write the events down.
+    """Add `drawn`, the Poisson number of fragments, and `truncated`, how many a configured limit cut; written down.
 
-    The table keeps the count from being worked out again in every filter that Catalyst derives
-    from the explode below; it has one row per breakup.
+    A large mean is split into equal blocks, whose counts are drawn by as many tasks as there are blocks and summed. The
+    table keeps the count from being worked out again in every filter that Catalyst derives from the explode below;
+    it has one row per breakup.
     """
-    count = rng.poisson(F.col("expected_fragments"), cfg.seed, F.col("event"), 0, C.MAX_FRAGMENTS_PER_EVENT)
-    return materialize(events.withColumn("drawn", count), "events")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("expected_fragments") / F.lit(C.POISSON_BLOCK)).cast("int"))
+    blocks = events.select(
+        "event", "expected_fragments", parts.alias("_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_block")
+    ).repartition("event", "_block")
+    count = rng.poisson(F.col("expected_fragments") / F.col("_parts"), cfg.seed, F.col("event"), 0, F.col("_block"))
+    counts = blocks.groupBy("event").agg(F.sum(count).cast("bigint").alias("_n"))
+    most = F.lit(cfg.max_fragments).cast("bigint")
+    drawn = F.col("_n") if cfg.max_fragments is None else F.least("_n", most)
+    return materialize(
+        events.join(counts, "event").withColumns({"drawn": drawn, "truncated": F.col("_n") - drawn}).drop("_n"), "events"
+    )
 
 
 def draw_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     """Every fragment of counted events, before mass budget and escape are applied.
 
     One row per (event, k): side (0 target, 1 projectile), size, A/m, mass and birth state.
-    Rows come from an explode and random numbers from digests, so the work of one large event
-    is as parallel as the row count allows after the shuffle that follows.
+    An event opens into chunks of draws, which are dealt out before they open into rows: a large event is drawn by
+    many tasks. Random numbers come from digests, so it does not matter by which.
     """
-    slots = F.posexplode(F.array_repeat(F.lit(True), F.col("drawn"))).alias("_pos", "_one")
-    rows = events.select("*", slots).withColumn("k", F.col("_pos") + 1)
+    size = F.lit(C.DRAWS_PER_CHUNK)
+    chunks = events.where("drawn > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("drawn") - 1) / size))).alias("_chunk"))
+    chunks = chunks.repartition("event", "_chunk")
+    first = F.col("_chunk") * size + 1
+    rows = chunks.select("*", F.explode(F.sequence(first, F.least(F.col("drawn"), first + size - 1))).alias("k"))
     rows = rows.withColumns({f"_d{s}": rng.digest(cfg.seed, F.col("event"), F.col("k"), s) for s in range(1, 6)})
     rows = rows.withColumns(
         {f"_u{s}{w}": rng.uniform(F.col(f"_d{s}"), w) for s in range(1, 6) for w in (0, 1)}
@@ -113,42 +128,51 @@ def draw_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     )
 
 
-def take_within_budget(masses: np.ndarray, budget: float) -> np.ndarray:
-    """Greedy running sum: skip an item that would exceed the budget, go on with the rest."""
-    taken = np.zeros(len(masses), dtype=bool)
-    start, used = 0, 0.0
+def take_within_budget(masses: np.ndarray, budget: float, used: float = 0.0) -> tuple[np.ndarray, float]:
+    """Greedy running sum: skip an item that would exceed the budget, go on with the rest.
+
+    Returns which items are taken and the sum after them; `used` is the sum before.
+    """
+    taken, start = np.zeros(len(masses), dtype=bool), 0
     while start < len(masses):
         # everything up to the first item that does not fit is taken at once
-        total = used + np.cumsum(masses[start:])
+        total = np.cumsum(np.concatenate(([used], masses[start:])))[1:]
         over = np.flatnonzero(total > budget)
         stop = start + (over[0] if len(over) else len(total))
         taken[start:stop] = True
         if stop > start:
-            used = total[stop - start - 1]
+            used = float(total[stop - start - 1])
         # skip what cannot fit any more
         rest = np.flatnonzero(masses[stop:] + used <= budget)
         if not len(rest):
             break
         start = stop + rest[0]
-    return taken
+    return taken, used
 
 
 def within_budget(fragments: DataFrame) -> DataFrame:
     """Keep the fragments their parent's mass can pay for, in drawing order.
 
-    One group is one event, which the model limits to 200,000 rows.
+    The rows of one parent are streamed in order; only the mass spent so far is carried from batch to batch, so an event
+    may have any number of fragments.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k", kind="stable")
-        taken = np.zeros(len(pdf), dtype=bool)
-        for side in (0, 1):
-            at = np.flatnonzero(pdf["side"].to_numpy() == side)
-            if len(at):
-                taken[at] = take_within_budget(pdf["mass_kg"].to_numpy()[at], pdf["budget"].iloc[at[0]])
-        return pdf[taken]
-
-    return fragments.groupBy("event").applyInPandas(keep, fragments.schema)
+    def keep(batches):
+        parent, used = None, 0.0
+        for batch in batches:
+            table = {n: batch[n].to_numpy(zero_copy_only=False) for n in ("event", "side", "mass_kg", "budget")}
+            if not batch.num_rows:
+                continue
+            change = np.flatnonzero((np.diff(table["event"]) != 0) | (np.diff(table["side"]) != 0)) + 1
+            taken = np.zeros(batch.num_rows, dtype=bool)
+            for lo, hi in zip([0, *change], [*change, batch.num_rows]):
+                this = (table["event"][lo], table["side"][lo])
+                if this != parent:
+                    parent, used = this, 0.0
+                taken[lo:hi], used = take_within_budget(table["mass_kg"][lo:hi], table["budget"][lo], used)
+            yield batch.filter(pa.array(taken))
+
+    ordered = fragments.repartition("event", "side").sortWithinPartitions("event", "side", "k")
+    return ordered.mapInArrow(keep, fragments.schema)
 
 
 def mark_escapes(fragments: DataFrame) -> DataFrame:
@@ -208,7 +232,7 @@ def event_report(events: DataFrame, fragments: DataFrame) -> DataFrame:
         F.col("t_name").alias("target_name"), F.col("p_name").alias("projectile_name"),
         "catastrophic", "v_rel_km_s", "energy_j_per_g",
         F.col("t_mass_kg").alias("target_mass_kg"), F.col("p_mass_kg").alias("projectile_mass_kg"),
-        "sbm_mass_kg", "expected_fragments",
+        "sbm_mass_kg", "expected_fragments", "truncated",
         F.coalesce("fragments", F.lit(0)).alias("fragments"),
         F.coalesce("fragments_mass_kg", F.lit(0.0)).alias("fragments_mass_kg"),
         F.coalesce("escaped", F.lit(0)).alias("escaped"),

@@ -107,7 +107,7 @@ _META = """
 meta AS (
   SELECT l.*, coalesce(OBJECT_TYPE, '') AS object_type_, coalesce(OBJECT_ID, '') AS designator,
     coalesce(COUNTRY, '') AS country_, coalesce(RCS_SIZE, '') AS rcs_size_, coalesce(RCSVALUE, '') AS rcs_value_
-  FROM latest l LEFT JOIN (SELECT * FROM satcat WHERE NORAD_CAT_ID NOT LIKE '%3') s ON norad_id = NORAD_CAT_ID)"""
+  FROM latest l LEFT JOIN (SELECT * REPLACE (CASE WHEN NORAD_CAT_ID LIKE '%3' THEN 'X' || NORAD_CAT_ID ELSE NORAD_CAT_ID END AS NORAD_CAT_ID) FROM satcat) s ON norad_id = NORAD_CAT_ID)"""
 
 
 # --- orbital mechanics ------------------------------------------------------------------
@@ -344,11 +344,14 @@ events_ AS MATERIALIZED (
 
 def _draws() -> str:
     arrivals = f"""
+blocks_ AS (
+  SELECT event, expected / parts AS mean, unnest(range(0, parts)) AS block
+  FROM (SELECT event, expected, greatest(1, ceil(expected / 512e0))::BIGINT AS parts FROM events_)),
 counts AS (
   SELECT event, count(*) AS n FROM (
-    SELECT event, expected, sum(-ln(1e0 - {_u(0, 0)})) OVER (PARTITION BY event ORDER BY k ROWS UNBOUNDED PRECEDING) AS due
-    FROM (SELECT event, expected, unnest(range(1, least(200000, ceil(expected + 12e0 * sqrt(expected) + 40e0))::BIGINT + 1)) AS k FROM events_))
-  WHERE due <= expected GROUP BY event)"""
+    SELECT event, mean, sum(-ln(1e0 - {_u(0, 0, item="(block * 1048576 + k)")})) OVER (PARTITION BY event, block ORDER BY k ROWS UNBOUNDED PRECEDING) AS due
+    FROM (SELECT event, block, mean, unnest(range(1, ceil(mean + 30e0 * sqrt(mean) + 100e0)::BIGINT + 1)) AS k FROM blocks_))
+  WHERE due <= mean GROUP BY event)"""
     side = lambda c: f"CASE WHEN side = 0 THEN t_{c} ELSE p_{c} END"
     mean = f"CASE WHEN mode < {_ramp('lg', C.AM_ALPHA)} THEN {_ramp('lg', C.AM_MU1)} + {_ramp('lg', C.AM_SIGMA1)} * z ELSE {_ramp('lg', C.AM_MU2)} + {_ramp('lg', C.AM_SIGMA2)} * z END"
     small = f"{_ramp('lg', C.AM_SMALL_MU)} + (CASE WHEN lg <= -3.5e0 THEN 0.2e0 ELSE 0.2e0 + 0.1333e0 * (lg + 3.5e0) END) * z"
@@ -490,7 +493,7 @@ SELECT 'output/snapshot_' || s_suppkey || '.csv' AS path, s_suppkey AS number FR
     out["mass_table_override"] = f"""WITH masses(rcs, type, kg) AS (VALUES {_MASSES}),
 cells AS (
   SELECT ['SMALL', 'MEDIUM', 'LARGE', 'NONE'][p_partkey % 4 + 1] AS rcs, {_TYPES}[p_size % 4 + 1] AS type,
-    arg_max(p_size + 0.5e0, p_partkey) AS kg FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 10 <> 0 GROUP BY 1, 2)
+    arg_max(p_size + 0.5e0, p_partkey) AS kg FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2)
 SELECT m.rcs, m.type, coalesce(c.kg, m.kg) AS mass_kg FROM masses m LEFT JOIN cells c USING (rcs, type)"""
     out["satcat_dedupe"] = f"WITH{SATCAT} SELECT * FROM satcat"
     out["gp_window_filter"] = f"""WITH{HISTORY}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as C
+from ..operators import analytics as A
 from ..session import work_path
 from ..sources.derived import zoned
 
@@ -60,11 +61,15 @@ def newest(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*body), "batch").alias("r")).select(key, "r.*")
 
 
-def hourly_windows(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Count and total per event-time hour; hours older than the lateness leave the state."""
+def hourly_windows(events: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Count and total per event-time hour; complete whatever the order in which events arrive.
+
+    Without a lateness every hour stays in the state, one row each, and no event is late. An endless feed
+    can name one: hours older than that leave the state, and events that come later still are lost.
+    """
+    timed = events.withWatermark("ts", lateness) if lateness else events
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 hour").alias("w"))
+        timed.groupBy(F.window("ts", "1 hour").alias("w"))
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(((F.unix_seconds("w.start") - F.lit(int(EPOCH_S))) / 3600).cast("bigint").alias("hour"), "n", "total")
     )
@@ -75,26 +80,28 @@ def run_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(run_to_table(hourly_windows(events), "update", "hourly"), "hour")
 
 
-def ema_per_key(events: DataFrame, key: str, ts: str, tie: str, value: str, keep: float = C.EMA_KEEP) -> DataFrame:
-    """Moving average per key, seeded with the first positive value, one number of state."""
+def ema_blocks(events: DataFrame, key: str, ts: str, tie: str, value: str, block_s: int = 60) -> DataFrame:
+    """The rows of each key and short block of event time, kept as streaming state and emitted when they change.
 
-    def update(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        average = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(frames)).sort_values([ts, tie])
-        for v in rows[value].to_numpy():
-            average = keep * average + (1.0 - keep) * v if average > 0 else float(v)
-        state.update((average,))
-        yield pd.DataFrame({key: [k[0]], "ema": [average]})
-
-    return events.select(key, ts, tie, value).groupBy(key).applyInPandasWithState(
-        update, f"{key} bigint, ema double", "ema double", "update", GroupStateTimeout.NoTimeout
-    )
+    A block holds its rows because they may arrive in any order; what a block does to the average is worked out, and
+    blocks are chained in event time, when the average is read (`run_ema`). A key is spread over its blocks.
+    """
+    block = A.time_block(ts, block_s)
+    row = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("v"))
+    return events.groupBy(F.col(key).alias("key"), block.alias("block")).agg(F.collect_list(row).alias("items"))
+
+
+def ema_of_blocks(emitted: DataFrame, key: str, keep: float = C.EMA_KEEP) -> DataFrame:
+    """The average of each key after its last row, from the last emitted state of every block."""
+    last = emitted.groupBy("key", "block").agg(F.max("batch").alias("batch"))
+    rows = emitted.join(last, ["key", "block", "batch"]).withColumnRenamed("key", key)
+    return A.ema_chain(rows, key, keep)
 
 
 def run_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = open_events(spark, f"{sf_dir.rstrip('/')}/events.parquet")
-    stream = ema_per_key(events, "user_id", "ts", "event_id", "value")
-    return newest(run_to_table(stream, "update", "ema"), "user_id")
+    stream = ema_blocks(events, "user_id", "ts", "event_id", "value")
+    return ema_of_blocks(run_to_table(stream, "update", "ema"), "user_id")
 
 
 def recent_per_key(events: DataFrame, key: str, n: int = C.RECENT_EVENTS, lifetime_s: float = C.EVENT_LIFETIME_S) -> DataFrame:

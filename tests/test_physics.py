@@ -100,4 +100,4 @@ def test_greedy_budget_matches_a_plain_loop(seed):
         ok = used + m <= budget
         used += m if ok else 0.0
         want.append(ok)
-    assert B.take_within_budget(masses, budget).tolist() == want
+    assert B.take_within_budget(masses, budget)[0].tolist() == want
