@@ -15,7 +15,7 @@ at most that of their centres plus what x and z have beyond them. Only pairs tha
 
 Components are exact: every pair over the threshold is either compared or within one group. Lists of frequent shingles are
 salted, their centres meet in a second round; joins are by key and can be split where keys are hot. Sets are
-never shipped, only texts of documents that have a candidate.
+never shipped, only texts of documents in a pair to compare; a bitmap of fixed size keeps most others from being shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, packed, unpacked
 from .components import components
@@ -267,18 +268,48 @@ def _compared(shingle: int):
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Exact overlap of every pair (a, b) of nodes; `texts` has one text per node."""
+MAP_BITS = 24
+
+
+def _among(keys: DataFrame) -> Column:
+    """A filter that passes every one of `keys` (hashes) and few others: a bitmap of a fixed size (2 MB).
+
+    Where keys are so many that all bits are set it passes everything; what follows is exact either way.
+    """
+    place = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    words = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int))").alias("bit"))
+    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas().itertuples():
+        bitmap[r.word] = np.array(r.bits, np.int64).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def passes(key: pd.Series) -> pd.Series:
+        at = key.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - MAP_BITS)
+        return pd.Series((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0)
+
+    return passes("key")
+
+
+def compare(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Exact overlap of every pair (a, b) of nodes, written down.
+
+    Only the texts of these nodes are fetched, one per node: sets has (node, key), rows has (key, text).
+    """
+    pairs = materialize(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = materialize(sets.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node", "left_semi"), "wanted")
+    found = rows.select("key", "text").where(_among(one)).join(one, "key").dropDuplicates(["key"])  # repeated rows have equal keys
+    texts = materialize(found.select("node", "text"), "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        _compared(shingle), "a long, b long, size_a long, size_b long, common long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(_compared(shingle), "a long, b long, size_a long, size_b long, common long"), "answers")
 
 
 def linked(percent: int):
     return F.col("common") * 100 >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
 
-def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between sets of different groups that the first round did not compare.
 
     groups: node, component, centre, beyond (elements of the node that its centre lacks).
@@ -310,13 +341,13 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, texts: Da
     pairs = materialize(pairs, "crossing")
     of_centres = pairs.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size_a", "size_b", "common")
-    fresh = materialize(compare(of_centres.join(done, ["a", "b"], "left_anti"), texts, shingle), "centre-answers")
+    fresh = compare(of_centres.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
     overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
     derived = pairs.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
     at_most = F.col("common") + F.col("beyond_x") + F.col("beyond_z")
     open_pairs = derived.where(at_most * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))).where(
         "NOT (x = centre_x AND z = centre_z)").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
-    rest = compare(open_pairs.join(done, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), texts, shingle)
+    rest = compare(open_pairs.join(done, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), sets, rows, shingle)
     return fresh.union(rest).where(linked(percent)).select("a", "b")
 
 
@@ -347,17 +378,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     )
     listed = found.where(F.col("kind") == LISTED).select("token", "size", "pos", "node")
 
-    nodes = listed.select("node").union(pairs.select("a")).distinct()
-    one = sets.where("n > 0").groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node", "left_semi")
-    texts = materialize(rows.select("key", "text").join(one, "key").select("node", "text").dropDuplicates(["node"]), "texts")
-
-    answers = materialize(compare(pairs, texts, shingle), "answers")
+    filled = sets.where("n > 0")
+    answers = compare(pairs, filled, rows, shingle)
     links = answers.where(linked(percent))
     grouped = components(links)
     best = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((F.col("size_a") - F.col("common")).alias("beyond"), F.col("b").alias("centre"))).alias("s"))
     groups = grouped.join(best, "node", "left").select(
         "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond"))
-    more = materialize(crossing(listed, materialize(groups, "groups"), answers, texts, shingle, percent), "crossing-links")
+    more = materialize(crossing(listed, materialize(groups, "groups"), answers, filled, rows, shingle, percent), "crossing-links")
     final = components(links.select("a", "b").union(more)) if not more.isEmpty() else grouped
 
     placed = materialize(
