@@ -148,10 +148,10 @@ def snapshot_types(rows: DataFrame, types: DataFrame) -> DataFrame:
 def sample_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Reproducible sample without replacement, all rows if there are fewer.
 
-    The order is a hash of seed and row, so it does not depend on the layout of the data, and
+    The order is a digest of seed and row, so it does not depend on the layout of the data, and
     the limit becomes a top-n per task.
     """
-    return rows.orderBy(F.xxhash64(F.lit(seed), "idx"), "idx").limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("idx").cast("string")).cast("binary")), "idx").limit(n)
 
 
 # --- time series ----------------------------------------------------------------------

@@ -240,6 +240,14 @@ def event_report(events: DataFrame, fragments: DataFrame) -> DataFrame:
     )
 
 
+def with_ids(report: DataFrame, objects: DataFrame) -> DataFrame:
+    """Adds target_id and projectile_id, as texts; empty for a projectile that is no object."""
+    ids = lambda side: objects.select(F.col("idx").alias(f"{side}_idx"), F.col("id").cast("string").alias(f"{side}_id"))
+    return report.join(ids("target"), "target_idx", "left").join(ids("projectile"), "projectile_idx", "left").withColumns(
+        {f"{side}_id": F.coalesce(f"{side}_id", F.lit("")) for side in ("target", "projectile")}
+    )
+
+
 def breakup_totals(report: DataFrame) -> DataFrame:
     return report.agg(
         F.count("*").alias("events"),

@@ -15,10 +15,10 @@ from .ordering import prefix_sum
 FORWARD = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
 
 
-def cell_size(states: DataFrame, dt: float, threshold_km: float) -> DataFrame:
-    """One row `cell_km`: wide enough that a close approach within `dt` stays in touching cells."""
+def cell_size(states: DataFrame, dt: float, threshold_km: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """`cell_km`, one row (or one per `by`): wide enough that a close approach within `dt` stays in touching cells."""
     vrel = F.lit(2.0) * F.coalesce(F.max(norm(cols("vx", "vy", "vz"))), F.lit(0.0))
-    return states.where("alive").agg(
+    return states.where("alive").groupBy(*by).agg(
         F.greatest(
             F.lit(C.MIN_CELL_KM),
             vrel * F.lit(dt) + F.lit(threshold_km) + F.lit(C.GRAVITY_GRADIENT) * vrel * F.lit(dt**3),
@@ -26,8 +26,9 @@ def cell_size(states: DataFrame, dt: float, threshold_km: float) -> DataFrame:
     )
 
 
-def cell_index(c: Column, cell_km: float) -> Column:
-    return F.floor(c / F.lit(float(cell_km))).cast("bigint")
+def cell_index(c: Column, cell_km: float | Column) -> Column:
+    width = cell_km if isinstance(cell_km, Column) else F.lit(float(cell_km))
+    return F.floor(c / width).cast("bigint")
 
 
 def pack(ix: Column, iy: Column, iz: Column) -> Column:
@@ -47,12 +48,12 @@ def unpack(key: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def with_cell(df: DataFrame, cell_km: float) -> DataFrame:
+def with_cell(df: DataFrame, cell_km: float | Column) -> DataFrame:
     df = df.withColumns({f"c{a}": cell_index(F.col(a), cell_km) for a in "xyz"})
     return df.withColumn("cell_key", pack(*cols("cx", "cy", "cz")))
 
 
-def occupancy(df: DataFrame, cell_km: float, by: tuple[str, ...] = ()) -> DataFrame:
+def occupancy(df: DataFrame, cell_km: float | Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Objects per occupied cell; combined on the map side, so a crowded cell is cheap."""
     return (
         with_cell(df.where("alive"), cell_km).groupBy(*by, "cell_key").agg(F.count("*").alias("n"))
@@ -99,13 +100,6 @@ def cell_offsets(counts: DataFrame) -> DataFrame:
     return prefix_sum(counts, F.col("cell_key"), F.col("n"), "begin", block=1 << C.KEY_BITS)
 
 
-def key_changes(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Flag rows whose key differs from the row before, within the given partition keys."""
-    w = Window.partitionBy(*keys[:-1]).orderBy(*order)
-    last = F.lag(keys[-1]).over(w)
-    return df.withColumn("starts", last.isNull() | (last != F.col(keys[-1])))
-
-
 def neighbourhood(df: DataFrame, cell_km: float, seeds: DataFrame) -> DataFrame:
     """Objects in the cell of each seed object and in the 26 cells around it.
 

@@ -7,8 +7,10 @@ objects. Every task steps its own batches through time; nothing is shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,12 +22,13 @@ CHUNK = 8192  # objects stepped together: enough to hide call overhead, few enou
 EMIT_ROWS = 65536
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: few input files must not mean few tasks."""
-    context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= context.defaultParallelism:
-        return df
-    return df.repartition(context.defaultParallelism)
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """At least `tasks` partitions (default: one per core): few input files must not mean few tasks.
+
+    Looks at the list of input files only; nothing runs while a plan is built.
+    """
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks, "idx")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -109,32 +112,33 @@ def _batch(parts, names):
 
 
 def advance(objects: DataFrame, epoch_jd: float, dt: float, first_step: int, steps: int) -> DataFrame:
-    """Objects after `steps` steps; all other columns stay as they are."""
+    """Objects after `steps` steps; all other columns stay as they are.
+
+    Only state and `alive` go to Python and back.
+    """
     moons = _moon_table(epoch_jd, dt, first_step, steps)
-    schema = objects.schema
-    columns = objects.columns
 
-    def run(batches):
-        for batch in batches:
-            done_r, done_v, done_alive = [], [], []
-            for _, alive, r, v in _chunks([batch]):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            live, state = series[0].to_numpy().astype(bool), np.stack([c.to_numpy() for c in series[1:]]).astype(float)
+            moved, still = np.empty_like(state), np.empty_like(live)
+            parts = max(1, math.ceil(len(live) / CHUNK))
+            size = max(1, math.ceil(len(live) / parts))
+            for lo in range(0, len(live), size):
+                cut = slice(lo, lo + size)
+                r, v, alive = np.ascontiguousarray(state[:3, cut]), np.ascontiguousarray(state[3:, cut]), live[cut].copy()
                 for n in range(steps):
                     if not alive.any():
                         break
                     r, v = _advance(r, v, alive, dt, tuple(m[:, n] for m in moons))
-                done_r.append(r)
-                done_v.append(v)
-                done_alive.append(alive)
-            if not done_r:
-                continue
-            moved = dict(zip(STATE, np.concatenate([np.concatenate(done_r, axis=1), np.concatenate(done_v, axis=1)])))
-            moved["alive"] = np.concatenate(done_alive)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(moved[c]) if c in moved else batch.column(batch.schema.get_field_index(c)) for c in columns],
-                names=columns,
-            )
-
-    return spread(objects).mapInArrow(run, schema)
+                moved[:3, cut], moved[3:, cut], still[cut] = r, v, alive
+            yield pd.DataFrame({**dict(zip(STATE, moved)), "alive": still})
+
+    # not deterministic only in name: a filter on the outcome must not run the steps a second time
+    step = F.pandas_udf(run, STATE_DDL + ", alive boolean").asNondeterministic()
+    out = spread(objects).withColumn("_moved", step("alive", *STATE))
+    changed = {*STATE, "alive"}
+    return out.select(*[F.col(f"_moved.{c}").alias(c) if c in changed else F.col(c) for c in objects.columns])
 
 
 def step_rows(df: DataFrame, epoch_jd: float, t: str, duration: str) -> DataFrame:

@@ -649,16 +649,27 @@ SELECT b AS below_km, (SELECT count(*) FROM found WHERE miss_km < b) AS n FROM (
     out["closest_approach"] = f"{found} SELECT i, j, {times} FROM found ORDER BY found.miss_km, found.t, i, j LIMIT 1"
     out["conjunction_totals"] = f"""{found}
 SELECT count(*) AS conjunctions, count(*) FILTER (collision) AS collisions FROM found"""
-    out["screening_stats"] = f"""{pairs}{_cells("states", "958e0")},
+    wide = "2e0 * max(sqrt(vx*vx + vy*vy + vz*vz))"
+    stats = f"""{pairs},
+widths AS (SELECT step, greatest({C.MIN_CELL_KM}e0, {wide} * 60e0 + 25e0 + {d(C.GRAVITY_GRADIENT)} * ({wide}) * {d(60.0**3)}) AS w FROM states GROUP BY step),
+gridded AS (SELECT s.*, w FROM states s JOIN widths USING (step)){_cells("gridded", "w")},
 grid AS (
-  SELECT a.step, count(*) AS candidates FROM celled a JOIN celled b ON a.step = b.step AND a.idx < b.idx AND {_touching()} GROUP BY a.step)
-SELECT g.step::BIGINT AS step, candidates, coalesce(refined, 0) AS refined, coalesce(co, 0) AS co_orbiting FROM grid g LEFT JOIN (
-  SELECT step, count(*) FILTER (outcome = 'REFINE') AS refined, count(*) FILTER (outcome <> 'REFINE') AS co FROM passed GROUP BY step) p
-  ON p.step = g.step"""
+  SELECT a.step, count(*) AS candidates FROM celled a JOIN celled b ON a.step = b.step AND a.idx < b.idx AND {_touching()} GROUP BY a.step),
+stats AS (
+  SELECT g.step::BIGINT AS step, candidates, coalesce(refined, 0) AS refined, coalesce(co, 0) AS co_orbiting FROM grid g LEFT JOIN (
+    SELECT step, count(*) FILTER (outcome = 'REFINE') AS refined, count(*) FILTER (outcome <> 'REFINE') AS co FROM passed GROUP BY step) p
+    ON p.step = g.step)"""
+    out["screening_stats"] = f"{stats} SELECT * FROM stats"
+    out["screening_report"] = f"""{stats}
+SELECT count(*) AS steps, sum(candidates)::BIGINT AS candidates, {rnd("avg(candidates)", 4, "mean_candidates")}, sum(refined)::BIGINT AS refined,
+  max(co_orbiting) AS most_co_orbiting FROM stats"""
     out["collision_envelope"] = f"{population} SELECT max(size_m) * (0.001e0 * 100e0) AS threshold_km FROM population"
 
     # runs
     out["final_state"] = f"{sinking}{run('sinking', 3, '60e0')} SELECT idx, {rounded_state()}, live::INT AS alive FROM s3"
+    sampled = " UNION ALL ".join(f"SELECT {60.0 * n}e0 AS t_s, live FROM s{n}" for n in (0, 2, 4))
+    out["population_samples"] = f"""{sinking}{run('sinking', 4, '60e0')}
+SELECT t_s, count(*) AS objects, count(*) FILTER (live) AS alive FROM ({sampled}) GROUP BY t_s"""
     path = " UNION ALL ".join(f"SELECT {60.0 * n}e0 AS t_s, id, name, x, y, z FROM s{n}" for n in range(4))
     tracked = objects + ", tracked AS (SELECT * FROM objects WHERE idx IN (SELECT c_custkey FROM customer))" + run("tracked", 3, "60e0")
     out["trajectories"] = f"""{tracked}
@@ -706,6 +717,8 @@ SELECT serial + 1000000000 AS idx, serial + 10000000 AS id, 'FRAG ' || event ||
     out["breakup_events"] = f"""{kept}{_REPORT}
 SELECT event, t_idx AS target_idx, p_idx AS projectile_idx, t_name AS target_name, p_name AS projectile_name,
   catastrophic::INT AS catastrophic, fragments, {rnd("fragments_mass_kg", 3, "fragments_mass_kg")}, escaped FROM report"""
+    out["breakup_log"] = f"""{kept}{_REPORT}
+SELECT {rnd("t", 3, "t_s")}, event, t_idx::VARCHAR AS target_id, coalesce(p_idx::VARCHAR, '') AS projectile_id, fragments, escaped, 0 AS truncated FROM report"""
     out["breakup_totals"] = f"""{kept}{_REPORT}
 SELECT count(*) AS events, count(*) FILTER (catastrophic) AS catastrophic, sum(escaped)::BIGINT AS escaped,
   sum(fragments)::BIGINT AS fragments FROM report"""
@@ -740,6 +753,11 @@ SELECT CASE rcs WHEN '' THEN 'NONE' ELSE rcs END AS rcs, {kinds} FROM objects GR
 SELECT hour, n, (sum(n) OVER (ORDER BY hour))::BIGINT AS cum_n, {rnd("sum(total) OVER (ORDER BY hour)", 3, "cum_total")} FROM hours"""
     out["ema_value"] = _LAST_EMA
     out["ema_stream"] = _LAST_EMA
+    out["sample_n"] = f"{objects} SELECT idx, name FROM objects ORDER BY md5('42:' || idx), idx LIMIT 500"
+    life = int(C.EVENT_LIFETIME_S * 3600)
+    out["aged_events"] = f"""
+SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place
+FROM events QUALIFY place <= {C.RECENT_EVENTS} AND ts > max(ts) OVER (PARTITION BY event_type) - INTERVAL {life} SECOND"""
     out["recent_events"] = "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200"
     out["category_regimes"] = f"""{objects}{one_step("objects", "g", "0e0", "60e0", NEXT)},
 now AS (SELECT type AS category, {", ".join(f"n{c} AS {c}" for c in STATE)} FROM g),

@@ -546,8 +546,9 @@ def screening_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Per step: candidates of the uniform grid, refined pairs and pairs that fly together."""
     rows = derived.objects(spark, sf)
     states = propagate.step_states(rows, EPOCH, SCREEN_DT, 0, SCREEN_STEPS).withColumn("alive", F.lit(True))
-    width = 958.0
-    candidates = cells.candidate_pairs(cells.occupancy(states, width, ("step",)), ("step",)).groupBy("step").agg(
+    widths = cells.cell_size(states, SCREEN_DT, SCREEN.threshold_km, ("step",))  # one row per step
+    gridded = states.join(F.broadcast(widths), "step")
+    candidates = cells.candidate_pairs(cells.occupancy(gridded, F.col("cell_km"), ("step",)), ("step",)).groupBy("step").agg(
         F.sum("pairs").alias("candidates")
     )
     counts = S.screening_counts(rows, EPOCH, SCREEN_DT, 0, SCREEN_STEPS, SCREEN)
@@ -557,6 +558,15 @@ def screening_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def screening_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's totals: candidates in all and per step, refined pairs, the most pairs that fly together in a step."""
+    return screening_stats(spark, sf).agg(
+        F.count("*").alias("steps"), F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidates"), rnd(F.avg("candidates"), 4).alias("mean_candidates"),
+        F.coalesce(F.sum("refined"), F.lit(0)).alias("refined"), F.coalesce(F.max("co_orbiting"), F.lit(0)).alias("most_co_orbiting"),
+    )
+
+
 @query
 def collision_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return S.collision_envelope_km(derived.population(spark, sf), 100.0)
@@ -613,6 +623,13 @@ def catalog_fate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def population_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects left at every second step of a run, the start included."""
+    rows = propagate.sample_states(derived.sinking(spark, sf), EPOCH, STEP_S, 4, 2)
+    return rows.groupBy("t_s").agg(F.count("*").alias("objects"), F.count_if("alive").alias("alive"))
+
+
 @query
 def population(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.population_counts(derived.population(spark, sf))
@@ -732,6 +749,14 @@ def breakup_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def breakup_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Breakups under the ids of the objects; a made-up projectile has none."""
+    events = _counted(spark, sf)
+    log = B.with_ids(B.event_report(events, B.fragments_of(events, BREAKUP)), derived.objects(spark, sf))
+    return log.select(rnd("t", 3).alias("t_s"), "event", "target_id", "projectile_id", "fragments", "escaped", "truncated")
+
+
 @query
 def breakup_totals(spark: SparkSession, sf: str) -> DataFrame:
     events = _counted(spark, sf)
@@ -829,6 +854,14 @@ def recent_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def aged_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The last events of each type that are younger than a lifetime, here hours for seconds: the feed is sparse."""
+    from ..streaming import feeds as live
+
+    return live.recent_batch(derived.table(spark, sf, "events"), "event_type", C.RECENT_EVENTS, C.EVENT_LIFETIME_S * 3600)
+
+
 @query
 def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     return A.sample_rows(derived.objects(spark, sf).select("idx", "name"), 500, 42)
