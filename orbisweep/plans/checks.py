@@ -739,8 +739,9 @@ SELECT idx AS event, (mass_kg >= 10)::INT AS object_is_target,
         pos = [rnd(f"{p}.{c} * (1e0 - {at})**2 * (1e0 + 2e0*{at}) + {p}.v{c} * 60e0 * {at} * (1e0 - {at})**2 + {p}.n{c} * {at}**2 * (3e0 - 2e0*{at}) - {p}.nv{c} * 60e0 * {at}**2 * (1e0 - {at})", 2, f"{p}_{c}") for c in "xyz"]
         vel = [rnd(f"(6e0*{at}*(1e0 - {at}) * ({p}.n{c} - {p}.{c}) + {p}.v{c} * 60e0 * (1e0 - {at}) * (1e0 - 3e0*{at}) + {p}.nv{c} * 60e0 * {at} * (3e0*{at} - 2e0)) / 60e0", 4, f"{p}_v{c}") for c in "xyz"]
         return ", ".join(pos + vel)
-    out["collision_parents"] = f"""{found}
-SELECT f.i, f.j, {mid("i")}, {mid("j")} FROM found f JOIN e0 i ON i.idx = f.i JOIN e0 j ON j.idx = f.j WHERE f.collision AND f.step = 0"""
+    out["collision_parents"] = found + " UNION ALL ".join(
+        f" SELECT f.i, f.j, {mid('i')}, {mid('j')} FROM found f JOIN e{n} i ON i.idx = f.i JOIN e{n} j ON j.idx = f.j WHERE f.collision AND f.step = {n}"
+        for n in range(2))
 
     # reports over time
     kinds = ", ".join(f"count(*) FILTER (type = '{t}') AS {t.lower().replace(' ', '_')}" for t in C.OBJECT_TYPES)

@@ -6,6 +6,8 @@ in the last bits of a sine agree on the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
@@ -13,6 +15,7 @@ from ..functions import dates, orbits, sbm, text
 from ..functions.vectors import cols, dot, norm
 from ..operators import analytics as A, breakup as B, cells, fates, masses, ordering, propagate, screen as S
 from ..schemas import STATE
+from ..session import materialize
 from ..sources import catalog, derived, feeds, snapshots
 from . import simulate
 
@@ -776,10 +779,13 @@ def impact_geometry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def collision_parents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derived.objects(spark, sf)
-    hits = _conjunctions(spark, sf).where("collision AND step = 0").select("t", "i", "j")
-    after = propagate.advance(rows, EPOCH, SCREEN_DT, 0, 1)
-    out = fates.collision_parents(hits, rows, after, 0.0, SCREEN_DT)
+    hits = materialize(_conjunctions(spark, sf).where("collision").select("step", "t", "i", "j"), "hits")
+    before, found = derived.objects(spark, sf), []
+    for n in range(SCREEN_STEPS):
+        after = propagate.advance(before, EPOCH, SCREEN_DT, n, 1)
+        found.append(fates.collision_parents(hits.where(F.col("step") == n).drop("step"), before, after, n * SCREEN_DT, SCREEN_DT))
+        before = after
+    out = reduce(DataFrame.unionByName, found)
     return out.select(
         "i", "j", *[rnd(f"{p}_{c}", 2).alias(f"{p}_{c}") for p in "ij" for c in STATE[:3]],
         *[rnd(f"{p}_{c}", 4).alias(f"{p}_{c}") for p in "ij" for c in STATE[3:]],

@@ -10,17 +10,24 @@ from ..functions import text
 EPOCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def dedupe_satcat(pages: DataFrame) -> DataFrame:
-    """First record of each id in page order.
+def first_rows(rows: DataFrame, key: str, number: str, ties: list[str], body: list[str]) -> DataFrame:
+    """`body` of the row of each key with the smallest `number`; among those, with the smallest `ties`.
 
-    `min_by` combines on the map side, so repeated ids shrink before the shuffle.
+    A hash aggregation over keys and numbers finds the smallest; it is joined back, which Spark does without moving the rows
+    where keys repeat often enough for the result to be small. Only the few rows left are aggregated whole.
     """
+    least = rows.groupBy(key).agg(F.min(number).alias("_least")).withColumnRenamed(key, "_key")
+    left = rows.join(least, (F.col(key) == F.col("_key")) & (F.col(number) == F.col("_least")))
+    return left.groupBy(key).agg(F.min_by(F.struct(*body), F.struct(*ties)).alias("r")).select(key, "r.*")
+
+
+def dedupe_satcat(pages: DataFrame) -> DataFrame:
+    """First record of each id in page order."""
     clean = pages.withColumn("NORAD_CAT_ID", text.trim_blanks(F.col("NORAD_CAT_ID"))).where(
         F.col("NORAD_CAT_ID").isNotNull()
     )
     record = ["OBJECT_TYPE", "RCS_SIZE", "RCSVALUE", "OBJECT_ID", "COUNTRY"]
-    first = F.min_by(F.struct(*record), F.struct("page", "pos"))
-    return clean.groupBy("NORAD_CAT_ID").agg(first.alias("r")).select("NORAD_CAT_ID", "r.*")
+    return first_rows(clean, "NORAD_CAT_ID", "page", ["pos"], record)
 
 
 def request_window(target: Column, days: int = C.GP_WINDOW_DAYS) -> tuple[Column, Column]:
@@ -48,16 +55,13 @@ def window_filter(records: DataFrame, target: Column, days: int = C.GP_WINDOW_DA
 def latest_before(records: DataFrame, target: Column, tie: list[str]) -> DataFrame:
     """The newest record at or before the target of each id; ties go to the smallest `tie`.
 
-    One aggregation with map-side combine, so an id that holds a third of the history costs no
-    more than any other.
+    An id that holds a third of the history costs no more than any other.
     """
     parsed = parse_epoch(records).where(
         F.col("norad_id").isNotNull() & F.col("epoch_ts").isNotNull() & (F.col("epoch_ts") <= target)
     )
     body = [c for c in parsed.columns if c not in ("norad_id", "NORAD_CAT_ID")]
-    # newest first, then smallest tie: the smallest (-epoch, tie)
-    key = F.struct((-F.unix_micros("epoch_ts")).alias("age"), *tie)
-    return parsed.groupBy("norad_id").agg(F.min_by(F.struct(*body), key).alias("r")).select("norad_id", "r.*")
+    return first_rows(parsed.withColumn("_age", -F.unix_micros("epoch_ts")), "norad_id", "_age", tie, body)
 
 
 def skip_counts(records: DataFrame, target: Column) -> DataFrame:
