@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import session
 from ..session import work_path
 
-__all__ = ["materialize", "work_path", "table", "numbered", "packed", "unpacked"]
+__all__ = ["materialize", "work_path", "table", "numbered", "packed", "unpacked", "discard"]
 #: Spark's own setting: shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,6 +23,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by `materialize` that nothing reads any more."""
+    for table_ in tables:
+        for file in table_.inputFiles()[:1]:  # all files of a table lie in one folder
+            folder = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def packed(docs: DataFrame, without: tuple[str, ...] | list[str] = (), keep: list[str] | None = None) -> Column:
     """The columns of `docs` as one struct, so that none of their names meets one of an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in without])
@@ -43,7 +51,7 @@ def numbered(laid: DataFrame, keys: list[str], part: str, order: list[Column], o
     `part` splits each key into parts that are numbered on their own on top of the totals of the
     parts before, so that a key with most of the rows is spread over as many tasks as it has
     parts. The frame must be a written table (`materialize`): the totals and the rows are read
-    separately and have to agree.
+    separately and have to agree. Keys and parts are never null; window and join so share one shuffle.
     """
     step = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,8 +62,4 @@ def numbered(laid: DataFrame, keys: list[str], part: str, order: list[Column], o
     within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     columns = [c for c in laid.columns if c != out]
     inner = laid.withColumn("__inner", F.coalesce(F.sum(step).over(within), F.lit(0)))
-    a, b = inner.alias("a"), offsets.alias("b")
-    match = F.lit(True)
-    for k in [*keys, part]:
-        match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, match).select(*[F.col(f"a.{c}") for c in columns], (F.col("__inner") + F.col("__offset")).alias(out))
+    return inner.join(offsets, [*keys, part]).select(*columns, (F.col("__inner") + F.col("__offset")).alias(out))

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, packed, unpacked
+from .common import discard, materialize, packed, unpacked
 from .components import components
 from .texts import mixed, shingle_sets
 
@@ -302,7 +302,9 @@ def compare(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) ->
     texts = materialize(found.select("node", "text"), "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(_compared(shingle), "a long, b long, size_a long, size_b long, common long"), "answers")
+    answers = materialize(both.mapInArrow(_compared(shingle), "a long, b long, size_a long, size_b long, common long"), "answers")
+    discard(texts, one, pairs)
+    return answers
 
 
 def linked(percent: int):
@@ -322,22 +324,20 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     mixed_lists = about.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = materialize(about.join(mixed_lists, "token", "left_semi"), "open-lists")
     # a block: the entries of a list with equal size, position and group; fit or not, they do so together
-    blocks = open_lists.select("token", "size", "pos", "component").distinct()
+    keyed = open_lists.withColumn("block", F.xxhash64("token", "size", "pos", "component"))
+    blocks = keyed.select("block", "token", "size", "pos", "component").distinct()
     p = {s: F.col(f"{s}.pos").cast("long") for s in "xz"}
     n = {s: F.col(f"{s}.size").cast("long") for s in "xz"}
     room = F.least(n["x"] - p["x"], n["z"] - p["z"])
     fits = room * F.lit(100 + percent) >= F.lit(percent) * (n["x"] + n["z"])
-    pairs_of_blocks = blocks.alias("x").join(
+    of_blocks = blocks.alias("x").join(
         blocks.alias("z"), (F.col("x.token") == F.col("z.token")) & (F.col("x.component") < F.col("z.component")) & fits
-    ).select(F.col("x.token").alias("token"), *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xz" for c in ("size", "pos", "component")])
-
-    def members(s: str) -> DataFrame:
-        return open_lists.select("token", F.col("size").alias(f"size_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("component").alias(f"component_{s}"),
-                                 F.col("node").alias(s), F.col("centre").alias(f"centre_{s}"), F.col("beyond").alias(f"beyond_{s}"))
-
-    on = lambda s: ["token", f"size_{s}", f"pos_{s}", f"component_{s}"]
-    pairs = pairs_of_blocks.join(members("x"), on("x")).join(members("z"), on("z")).select(
-        "x", "z", "size_x", "size_z", "centre_x", "centre_z", "beyond_x", "beyond_z").distinct()
+    ).select(F.col("x.block").alias("block_x"), F.col("z.block").alias("block_z"))
+    members = lambda s: keyed.select(F.col("block").alias(f"block_{s}"), F.col("node").alias(s))
+    met = materialize(of_blocks.join(members("x"), "block_x").join(members("z"), "block_z").select("x", "z").distinct(), "met")
+    info = open_lists.select("node", "size", "centre", "beyond").distinct()
+    of = lambda s: info.select(F.col("node").alias(s), *[F.col(c).cast("long").alias(f"{c}_{s}") for c in ("size", "centre", "beyond")])
+    pairs = met.join(of("x"), "x").join(of("z"), "z")
     pairs = materialize(pairs, "crossing")
     of_centres = pairs.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size_a", "size_b", "common")
@@ -348,7 +348,9 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     open_pairs = derived.where(at_most * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))).where(
         "NOT (x = centre_x AND z = centre_z)").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
     rest = compare(open_pairs.join(done, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), sets, rows, shingle)
-    return fresh.union(rest).where(linked(percent)).select("a", "b")
+    found = materialize(fresh.union(rest).where(linked(percent)).select("a", "b"), "crossing-links")
+    discard(open_lists, met, pairs, fresh, rest)
+    return found
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -385,7 +387,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     best = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((F.col("size_a") - F.col("common")).alias("beyond"), F.col("b").alias("centre"))).alias("s"))
     groups = grouped.join(best, "node", "left").select(
         "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond"))
-    more = materialize(crossing(listed, materialize(groups, "groups"), answers, filled, rows, shingle, percent), "crossing-links")
+    more = crossing(listed, materialize(groups, "groups"), answers, filled, rows, shingle, percent)
+    discard(found)
     final = components(links.select("a", "b").union(more)) if not more.isEmpty() else grouped
 
     placed = materialize(

@@ -182,8 +182,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         _slots(counts, blocks, shard_blocks, seed), "rank int, block long, epoch int, shard long, slot long"
     )
 
-    narrow = laid.select("__source", "__key", "__content", "__part", "mix_row", "size").where("size > 0")
-    placed = numbered(narrow, ["__source"], "__part", [F.col("__key"), F.col("__content"), F.col("mix_row")], "start", F.col("size"))
+    code = F.coalesce(F.concat(F.lit("="), F.col("__source").cast("string")), F.lit("")).alias("__code")  # a null source is one, too
+    narrow = laid.select("__source", code, "__key", "__content", "__part", "mix_row", "size").where("size > 0")
+    placed = numbered(narrow, ["__code"], "__part", [F.col("__key"), F.col("__content"), F.col("mix_row")], "start", F.col("size"))
     ranks = sources.select("source", "rank")
     width = F.lit(block_words)
     fragments = (

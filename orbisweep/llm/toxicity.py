@@ -8,7 +8,8 @@ divided by the square root of its length in words; a logistic curve turns it int
 The lexicon is learned: word beginnings of 4 to 8 letters (whole words if shorter) whose documents are labelled toxic
 far more often than the rest, by a log-likelihood ratio whose threshold grows with the number of beginnings tried.
 Of beginnings that occur in the same documents the longest is kept. Learning reads at most `per_label` labelled
-documents of each label, chosen by a hash of the key; scoring reads every text whole.
+documents of each label, chosen by a hash of the key; scoring reads every text whole. Copies and near copies count once: else
+every rare word of a text that was copied often enough would look like its label.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import materialize
+from .texts import mixed, shingle_sets
+
 # Letters of other alphabets and signs that read as Latin letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ӏ": "l", "ո": "n", "һ": "h",
@@ -125,6 +129,20 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+_DRAWS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MinHashes of each sampled text: near copies share most of them."""
+    for batch in batches:
+        marks = np.zeros((len(_DRAWS), batch.num_rows), np.uint64)
+        for row, found in shingle_sets(batch["text"], 3):
+            if len(found):
+                marks[:, row] = mixed(found[None, :] ^ _DRAWS[:, None]).min(axis=1)
+        yield pa.RecordBatch.from_arrays([batch["__key"], batch["label"], *[pa.array(m.view(np.int64)) for m in marks]],
+                                         ["key", "label", *[f"m{k}" for k in range(len(_DRAWS))]])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per word beginning and label; partial sums of a task."""
     counts: dict[str, list[int]] = {}
@@ -178,18 +196,25 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-        .groupBy(F.col(key).alias("__key")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
+        .groupBy(F.col(key).cast("long").alias("__key")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     )
     order = F.xxhash64("__key")
     chosen = known.where("label = 1").orderBy(order).limit(per_label).union(known.where("label = 0").orderBy(order).limit(per_label))
     # at most 2 * per_label keys are broadcast
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key").select("text", "label")
+    sample = materialize(docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key"), "labelled")
+    names = [f"m{k}" for k in range(len(_DRAWS))]
+    marks = sample.mapInArrow(_marks, "key long, label int, " + ", ".join(f"{m} long" for m in names)).toPandas().sort_values("key")
+    for m in names:  # one of each run of copies; a few numbers per sampled document
+        marks = marks.drop_duplicates(["label", m])
+    single = docs.sparkSession.createDataFrame(marks[["key"]].drop_duplicates().rename(columns={"key": "__key"}), "__key long")
+    rows = sample.dropDuplicates(["__key"]).join(F.broadcast(single), "__key", "left_semi").select("text", "label")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon(exceptions=exceptions)
     counts = rows.mapInArrow(_counted, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    tried = counts.where("toxic > 0").count()
+    counts = materialize(counts.where("toxic > 0"), "beginnings")
+    tried = counts.count()
     least = 2 * math.log(max(2, tried))
     # only these can reach the threshold; their number is bounded by the sample
     found = counts.where(F.col("toxic") * F.lit(2 * math.log((toxic + clean) / toxic)) >= least).where(
