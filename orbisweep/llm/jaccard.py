@@ -33,7 +33,7 @@ from .components import components
 from .texts import mixed, shingle_sets
 
 BUCKET_BITS, BLOCK = 20, 4096
-LEVEL_BITS = 4
+LEVEL_BITS, UNSALTED = 4, 3
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -86,15 +86,17 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_levels(digests: DataFrame) -> np.ndarray:
-    """For each bucket of shingle hashes, 0 if it is as frequent as the mean bucket, one more for each doubling.
+    """For each bucket of shingle hashes 0, or how far it is above the middle bucket: 1 from four standard deviations of a
+    bucket of rare shingles, one more for each doubling.
 
     All counts are summed; what comes to the driver has a fixed size (2^20 counters).
     """
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in digests.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary").collect():
         counts[r["block"] * BLOCK: (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    mean = max(1.0, counts.sum() / len(counts))
-    return np.clip(np.log2(np.maximum(counts, 1) / mean), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+    usual = max(1.0, float(np.median(counts)))
+    above = (counts - usual) / (4 * usual ** 0.5)
+    return np.clip(np.floor(np.log2(np.maximum(above, 0.5))) + 1, 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
 def need(a, b, percent: int):
@@ -117,8 +119,9 @@ def _entries(levels: bytes, shingle: int, percent: int):
                 order = (level[found >> np.uint64(64 - BUCKET_BITS)] << np.uint64(64 - LEVEL_BITS)) | (found >> np.uint64(LEVEL_BITS))
                 order.sort()
                 first = order[: n - -(-percent * n // 100) + 1]
-                # a list gets 2^level parts, chosen by the set
-                salt = np.uint64(node) & ((np.uint64(1) << (first >> np.uint64(64 - LEVEL_BITS))) - np.uint64(1))
+                # a list of level 4, 5, ... has 2, 4, ... parts, chosen by the set
+                parts_of = np.maximum(first >> np.uint64(64 - LEVEL_BITS), np.uint64(UNSALTED)) - np.uint64(UNSALTED)
+                salt = np.uint64(node) & ((np.uint64(1) << parts_of) - np.uint64(1))
                 parts.append((first, salt, node, n))
                 held += len(first)
                 if held > 200_000:
@@ -183,7 +186,7 @@ def _stars(percent: int, last: bool):
             if goes_on:
                 members[0] += 1
             shared = members[group] > 1
-            salted = (token.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)) > 0
+            salted = (token.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)) > UNSALTED
             open_group = len(members) - 1
             out = []
             if not last:
