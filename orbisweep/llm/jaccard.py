@@ -314,11 +314,49 @@ def linked(percent: int):
     return F.col("common") * 100 >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
 
-def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between sets of different groups that the first round did not compare.
+def _by_centre(stars: DataFrame) -> DataFrame:
+    """Each node with the centre that it meets in most lists, as a pair (a, b)."""
+    return (
+        stars.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("lists")).groupBy(F.col("node").alias("a"))
+        .agg(F.max(F.struct("lists", "centre")).alias("m")).select("a", F.col("m.centre").alias("b"))
+    )
+
+
+def _sorted_pairs(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+
+
+def grouped(answers: DataFrame, percent: int) -> DataFrame:
+    """node, component, centre, beyond (elements of the node that its centre lacks) of all sets with a link."""
+    links = answers.where(linked(percent))
+    best = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((F.col("size_a") - F.col("common")).alias("beyond"), F.col("b").alias("centre"))).alias("s"))
+    return materialize(components(links).join(best, "node", "left").select(
+        "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond")), "groups")
 
-    groups: node, component, centre, beyond (elements of the node that its centre lacks).
+
+def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Groups and answers after comparing groups through one member a list, round by round, while that links any.
+
+    A large family that the first round leaves in pieces becomes one group here, at a cost in proportion to its entries
+    and not to their pairs. Rounds only save work: what they leave is for `crossing`.
     """
+    groups = grouped(answers, percent)
+    for _ in range(rounds):
+        known = listed.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        one = known.groupBy("token", "component").agg(F.min(F.struct("pos", "size", "node")).alias("m")).select(
+            "token", F.lit(0).alias("salt"), "m.size", "m.pos", "m.node")
+        stars = one.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "pos", "node").mapInArrow(_stars(percent, True), FOUND)
+        pairs = _sorted_pairs(_by_centre(stars.where(F.col("kind") == LINK))).distinct().join(_sorted_pairs(answers), ["a", "b"], "left_anti")
+        fresh = compare(pairs, sets, rows, shingle)
+        answers = answers.union(fresh)
+        if fresh.where(linked(percent)).isEmpty():
+            break
+        groups = grouped(answers, percent)
+    return groups, answers
+
+
+def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between sets of different groups that have not been compared; `groups` as from `grouped`."""
     about = listed.join(groups, "node", "left").select(
         "token", "size", "pos", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"),
         F.coalesce("beyond", F.lit(0)).alias("beyond"),
@@ -343,7 +381,7 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     pairs = met.join(of("x"), "x").join(of("z"), "z")
     pairs = materialize(pairs, "crossing")
     of_centres = pairs.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b")).distinct()
-    done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size_a", "size_b", "common")
+    done = _sorted_pairs(answers, "common")
     fresh = compare(of_centres.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
     overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
     derived = pairs.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
@@ -375,24 +413,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     heads = found.where(F.col("kind") == CENTRE).select("token", F.lit(0).alias("salt"), "size", "pos", "node")
     second = heads.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "pos", "node").mapInArrow(_stars(percent, True), FOUND)
     stars = found.where(F.col("kind") == LINK).select("node", "centre").union(second.where(F.col("kind") == LINK).select("node", "centre"))
-    # a set is compared with the centre that it meets in most lists
-    pairs = materialize(
-        stars.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("lists")).groupBy(F.col("node").alias("a"))
-        .agg(F.max(F.struct("lists", "centre")).alias("m")).select("a", F.col("m.centre").alias("b")),
-        "stars",
-    )
+    pairs = _by_centre(stars)
     listed = found.where(F.col("kind") == LISTED).select("token", "size", "pos", "node")
 
     filled = sets.where("n > 0")
     answers = compare(pairs, filled, rows, shingle)
-    links = answers.where(linked(percent))
-    grouped = components(links)
-    best = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((F.col("size_a") - F.col("common")).alias("beyond"), F.col("b").alias("centre"))).alias("s"))
-    groups = grouped.join(best, "node", "left").select(
-        "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond"))
-    more = crossing(listed, materialize(groups, "groups"), answers, filled, rows, shingle, percent)
+    groups, answers = merged(listed, answers, filled, rows, shingle, percent)
+    more = crossing(listed, groups, answers, filled, rows, shingle, percent)
     discard(found)
-    final = components(links.select("a", "b").union(more)) if not more.isEmpty() else grouped
+    links = answers.where(linked(percent)).select("a", "b").union(more)
+    final = groups.select("node", "component") if more.isEmpty() else components(links)
 
     placed = materialize(
         sets.where("n > 0").join(final, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component")), "placed")
