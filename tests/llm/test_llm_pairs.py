@@ -176,6 +176,13 @@ def test_large_test_sets_are_not_broadcast(spark, monkeypatch, broadcast):
     assert [(r["doc_id"], r["license"]) for r in licenses.scan(docs, licenses.templates(spark)).collect()] == [(2, "MIT line")]
 
 
+def test_license_scan_finds_the_bare_notice_line(spark):
+    docs = spark.createDataFrame(
+        [(1, "some text\nAll rights reserved.\nmore text"), (2, "ALL RIGHTS RESERVED"), (3, "some rights reserved."), (4, "all rights are reserved")], "doc_id long, text string")
+    got = [(r["doc_id"], r["license"], r["containment"]) for r in licenses.scan(docs, licenses.templates(spark)).collect()]
+    assert sorted(got) == [(1, "All rights reserved line", 1.0), (2, "All rights reserved line", 1.0)]
+
+
 def test_license_scan(spark):
     rng, docs, planted = random.Random(4), [], set()
     names = sorted(licenses.TEMPLATES)
