@@ -3,7 +3,9 @@
 Every paragraph passes points, for itself, its commas and its length, to its parent in full and to farther
 ancestors in falling shares; a container's points are discounted by the share of its text inside
 links. The best container wins; its siblings are kept if they score well too, or read like paragraphs or headings of
-it. What names itself as navigation, advert, form, notice, comment and the like takes no part.
+it. What names itself as navigation, advert, form, notice, comment and the like takes no part, unless the page
+holds more text under such names than was kept and the best container, names counted as a penalty on its points
+and on the length of its text, lies below one: then the words that name it say nothing on this page.
 
 A small reader builds the tree from one pass over the source: it closes what HTML closes by itself, passes over the
 content of scripts and styles, and does not mind what is left open or closed twice.
@@ -45,6 +47,12 @@ NAMES = frozenset(
     "subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies discussion "
     "pagination pager widget skip search copyright".split()
 )
+#: Before a name, in one class: it tells of the layout around, not of the box.
+LAYOUT = frozenset("with has no without hide show".split())
+#: Beside a name, signs that the box holds the text after all. Not so for the words of APART.
+HOLDS = frozenset("content article body entry post story text main page layout wrapper wrap container theme single".split())
+APART = frozenset("ad ads advert advertisement advertising adsense adslot adbox sponsor sponsored comment comments commentlist disqus respond replies "
+                  "discussion cookie cookies consent gdpr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?"
     r"|<(?P<tag>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|(?P<loose>[^>]*+)>?)", re.S)
@@ -55,11 +63,11 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "length", "linked", "score", "own_text", "in_p")
+    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "length", "linked", "score", "own_text", "in_p", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
-        self.dropped, self.length, self.linked, self.score, self.own_text = False, 0, 0, 0.0, 0
+        self.dropped, self.length, self.linked, self.score, self.own_text, self.weight = False, 0, 0, 0.0, 0, 1.0
         self.in_p = tag == "p" or parent is not None and parent.in_p and tag not in SCOPE
 
 
@@ -128,7 +136,22 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _aside(node: Node) -> bool:
+def _words(node: Node) -> Iterator[str]:
+    """The words of an element's classes and id, without those that tell of the layout around it."""
+    if node.tag in HEADINGS or node.tag in ("html", "body", "main", "header"):
+        return
+    for name, a, b, c in _ATTR.findall(node.attrs):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).split():
+                before = ""
+                for w in _NAME.findall(token):
+                    w = w.lower()
+                    if before not in LAYOUT:
+                        yield w
+                    before = w
+
+
+def _aside(node: Node, names: frozenset[str] = NAMES) -> bool:
     """Whether an element is by its kind or names no part of an article."""
     tag = node.tag
     if tag in DROPPED:
@@ -143,15 +166,22 @@ def _aside(node: Node) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in HEADINGS and any(w.lower() in NAMES for w in _NAME.findall(value)):
-            return True
-    return False
+    return bool(names) and any(w in names for w in _words(node))
+
+
+def _weight(node: Node) -> float:
+    """What an element's text counts for, by its own names."""
+    words = set(_words(node)) if node.attrs else set()
+    if not words & NAMES:
+        return 1.0
+    return 0.02 if words & APART else 0.5 if words & HOLDS else 0.2
 
 
-def _measure(nodes: list[Node]) -> None:
+def _measure(nodes: list[Node], names: frozenset[str] = NAMES) -> None:
     for node in nodes:
         parent = node.parent
-        node.dropped = parent is not None and (parent.dropped or _aside(node))
+        node.dropped = parent is not None and (parent.dropped or _aside(node, names))
+        node.length, node.linked, node.score, node.own_text = 0, 0, 0.0, 0
     # a wrapper named after its sidebar still holds the article
     for node in nodes:
         if node.tag in ("h1", "main") and node.dropped:
@@ -162,7 +192,7 @@ def _measure(nodes: list[Node]) -> None:
                 top.dropped = False
                 for x in nodes:
                     if any(y is top for y in _path(x.parent)):
-                        x.dropped = x.parent.dropped or _aside(x)
+                        x.dropped = x.parent.dropped or _aside(x, names)
                 break
     for node in reversed(nodes):
         if node.dropped:
@@ -177,6 +207,21 @@ def _measure(nodes: list[Node]) -> None:
             node.parent.linked += node.linked
 
 
+def _misleading(nodes: list[Node]) -> tuple[set[str], float]:
+    """The names above the best container when names are a penalty only, and its weight."""
+    _measure(nodes, frozenset())
+    for node in nodes:
+        node.weight = min(node.parent.weight if node.parent is not None else 1.0, _weight(node))
+    _score(nodes)
+    best = max(nodes, key=lambda x: 0.0 if x.dropped else x.score * (1 - _density(x)))
+    weight = best.weight
+    for node in nodes:
+        node.weight = 1.0
+    if best.dropped or best.score <= 0:
+        return set(), 0.0
+    return {w for x in _path(best) for w in _words(x) if w in NAMES}, weight
+
+
 def _hidden_or_role(node: Node) -> bool:
     return any(name.lower() in ("hidden", "aria-hidden", "role") for name, *_ in _ATTR.findall(node.attrs or ""))
 
@@ -212,7 +257,7 @@ def _score(nodes: list[Node]) -> None:
         size = node.length if node.tag in PARAGRAPHS else node.own_text
         if size < 25:
             continue
-        points = (1 + _commas(node) + min(size / 100, 3)) * (1 - _density(node))
+        points = (1 + _commas(node) + min(size / 100, 3)) * (1 - _density(node)) * node.weight
         x, level = node.parent if node.tag in PARAGRAPHS else node, 0
         while x is not None and level < 6:
             x.score += points * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
@@ -283,7 +328,18 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     nodes = tree(source)
-    _measure(nodes)
+    text = _text(nodes, NAMES)
+    if sum(len(c.strip()) for x in nodes if x.dropped for c in x.children if c.__class__ is str) > len(text):
+        spared, weight = _misleading(nodes)
+        if spared:
+            other = _text(nodes, NAMES - spared)
+            if weight * len(other) > len(text):
+                return other
+    return text
+
+
+def _text(nodes: list[Node], names: frozenset[str]) -> str:
+    _measure(nodes, names)
     _score(nodes)
     out: list[str] = []
     for top in _kept(nodes):

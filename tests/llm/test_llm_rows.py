@@ -110,6 +110,23 @@ def test_main_text(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_main_text_below_misleading_names():
+    body = "".join(f"<p>{LONG} {i}.</p>" for i in range(6))
+    want = "\n".join(f"{LONG} {i}." for i in range(6))
+    aside = f"<div class=comments><p>{LONG} No.</p></div><div class='related'><p>{LONG} No.</p></div>"
+    for name in ("elementor-widget elementor-widget-theme-post-content", "entry-content related-layout", "with-sidebar", "hasSidebar", "widget"):
+        inner = f"<div class='{name}'><div class='{name.split()[-1]}-container'>{body}</div></div>"
+        assert pages.main_text(inner + aside.replace("related", "promo")) == want, name
+        assert pages.main_text(f"<div><p>A line that is left elsewhere on the page.</p></div>{inner}") == want, name
+        assert pages.main_text(f"<article><h1>Head</h1></article><div>{inner}</div>") == want, name
+        assert pages.main_text(f"<div class='{name}'><div class=banner><h1>Head</h1></div><div class='{name}'>{body}</div></div>{aside}").endswith(want), name
+    # names keep out what they name, though it is longer
+    assert pages.main_text(f"<div class=ad>{LONG}</div><article><h1>Head</h1><p>Short.</p></article>") == "Head\nShort."
+    replies = "".join(f"<div class='comment-body'><p>{LONG} {i}.</p></div>" for i in range(30))
+    assert pages.main_text(f"<div><p>{LONG}</p></div><div class=post-comments>{replies}</div>") == LONG
+    assert pages.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+
+
 def test_main_text_of_hostile_pages():
     deep = "<div>" * 20_000 + f"<p>{LONG}</p>"
     assert pages.main_text(deep) == LONG
