@@ -59,15 +59,19 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|type)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z|\")?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_LETTER = re.compile(r"[^\W_]")
+#: Links of menus have up to so many characters.
+ITEM = 50
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "length", "linked", "score", "own_text", "in_p", "weight")
+    __slots__ = ("tag", "parent", "children", "attrs", "dropped", "length", "linked", "score", "own_text", "in_p", "weight", "plain", "longest")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent, self.attrs, self.children = tag, parent, attrs, []
         self.dropped, self.length, self.linked, self.score, self.own_text, self.weight = False, 0, 0, 0.0, 0, 1.0
+        self.plain, self.longest = False, 0
         self.in_p = tag == "p" or parent is not None and parent.in_p and tag not in SCOPE
 
 
@@ -181,7 +185,7 @@ def _measure(nodes: list[Node], names: frozenset[str] = NAMES) -> None:
     for node in nodes:
         parent = node.parent
         node.dropped = parent is not None and (parent.dropped or _aside(node, names))
-        node.length, node.linked, node.score, node.own_text = 0, 0, 0.0, 0
+        node.length, node.linked, node.score, node.own_text, node.plain, node.longest = 0, 0, 0.0, 0, False, 0
     # a wrapper named after its sidebar still holds the article
     for node in nodes:
         if node.tag in ("h1", "main") and node.dropped:
@@ -200,9 +204,13 @@ def _measure(nodes: list[Node], names: frozenset[str] = NAMES) -> None:
         own = sum(len(c.strip()) for c in node.children if c.__class__ is str)
         node.own_text = own
         node.length += own
+        node.plain = node.plain or own > 0 and any(c.__class__ is str and _LETTER.search(html.unescape(c) if "&" in c else c) for c in node.children)
         if node.tag == "a":
-            node.linked = node.length
+            node.linked = node.longest = node.length
+            node.plain = False
         if node.parent is not None:
+            node.parent.plain = node.parent.plain or node.plain
+            node.parent.longest = max(node.parent.longest, node.longest)
             node.parent.length += node.length
             node.parent.linked += node.linked
 
@@ -230,6 +238,11 @@ def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def _menu(node: Node) -> bool:
+    """Whether a box holds short links and nothing but marks between them."""
+    return node.length > 0 and _density(node) > 0.5 and not node.plain and node.longest <= ITEM
+
+
 def _commas(node: Node) -> int:
     total, stack = 0, [node]
     while stack:
@@ -293,7 +306,7 @@ def _kept(nodes: list[Node]) -> list[Node]:
 
 
 def _blocks(top: Node, out: list[str]) -> None:
-    """Blocks of text below `top`, without recursion; lists and boxes that are mostly links are menus."""
+    """Blocks of text below `top`, without recursion; boxes of short links are menus, but not inside an article."""
     line: list[str] = []
 
     def flush() -> None:
@@ -309,7 +322,7 @@ def _blocks(top: Node, out: list[str]) -> None:
             flush()
         elif x.__class__ is str:
             line.append(html.unescape(x) if "&" in x else x)
-        elif x.dropped or x is not top and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.length and _density(x) > 0.5:
+        elif x.dropped or x is not top and top.tag != "article" and x.tag in ("ul", "ol", "div", "section", "table", "dl") and _menu(x):
             if x.tag in BLOCK:
                 flush()
         elif x.tag == "br":

@@ -127,6 +127,17 @@ def test_main_text_below_misleading_names():
     assert pages.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
 
 
+def test_main_text_keeps_lists_of_sources():
+    link = "<a href=1>A. Author and B. Author: The title of a paper that is cited, Journal of Things</a>"
+    says = "A. Author and B. Author: The title of a paper that is cited, Journal of Things"
+    sources = f"<ol><li>{link}</li><li><a href=2>A report of the office</a>, 2021</li></ol><table><tr><td><a href=3>North</a></td><td>17</td></tr></table>"
+    want = f"{LONG}\n{LONG}\n{says}\nA report of the office, 2021\nNorth\n17"
+    menu = "<ul><li><a href=4>Home</a> &middot; </li><li><a href=5>Contact</a> | </li></ul>"
+    assert pages.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p>{menu}{sources}</div>") == want
+    assert pages.main_text(f"<body><div><p>{LONG}</p><ul><li><a href=4>Home base</a> &#20013;</li></ul></div>") == f"{LONG}\nHome base 中"
+    assert pages.main_text(f"<article><p>{LONG}</p><p>{LONG}</p>{sources}<ul><li><a href=4>Reuters</a></li></ul></article>") == f"{want}\nReuters"
+
+
 def test_main_text_of_hostile_pages():
     deep = "<div>" * 20_000 + f"<p>{LONG}</p>"
     assert pages.main_text(deep) == LONG
