@@ -55,7 +55,10 @@ APART = frozenset("ad ads advert advertisement advertising adsense adslot adbox
                   "discussion cookie cookies consent gdpr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?"
-    r"|<(?P<tag>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|(?P<loose>[^>]*+)>?)", re.S)
+    r"|<(?P<tag>[a-zA-Z][^\s/>]*+)", re.S)
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+#: Searches for the end of a tag that meet an open quote may read so many lengths of the page; then so many characters each.
+OPEN_PAGES, OPEN_CHARS = 64, 4096
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|type)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z|\")?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -79,6 +82,7 @@ def tree(source: str) -> list[Node]:
     """All elements, parents first; text children are raw strings."""
     root = Node("html", None, "")
     nodes, now, at, n = [root], root, 0, len(source)
+    spent = 0  # characters read in vain for tags with an open quote
 
     def close(names: tuple[str, ...], stops) -> None:
         nonlocal now
@@ -101,7 +105,12 @@ def tree(source: str) -> list[Node]:
         at = m.end()
         tag, end = m["tag"], m["end"]
         if tag:
-            tag, attrs = tag.lower(), m["attrs"] if m["attrs"] is not None else m["loose"] or ""
+            stop = _ATTRS.match(source, at, n if spent <= OPEN_PAGES * n else min(n, at + OPEN_CHARS)).end()
+            if source[stop: stop + 1] != ">":  # a quote stays open: the tag ends at the first bracket
+                spent += stop - at
+                stop = source.find(">", at)
+                stop = n if stop < 0 else stop
+            tag, attrs, at = tag.lower(), source[at:stop], min(stop + 1, n)
             if tag == "html" or tag == "body" and any(x.tag == "body" for x in _path(now)):
                 continue
             if now.in_p and tag in CLOSES_P:

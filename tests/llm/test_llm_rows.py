@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import pyarrow as pa
@@ -138,6 +139,18 @@ def test_main_text_keeps_lists_of_sources():
     assert pages.main_text(f"<article><p>{LONG}</p><p>{LONG}</p>{sources}<ul><li><a href=4>Reuters</a></li></ul></article>") == f"{want}\nReuters"
 
 
+def test_main_text_beside_long_attributes():
+    value = "<p>no, no, no > no, no</p>" * 1000
+    for quote in "\"'":
+        assert pages.main_text(f"<article><p data-x={quote}{value}{quote} class=a>{LONG}</p><p>end</p></article>") == f"{LONG}\nend"
+    # a quote that stays open ends at the bracket, and many of them take no long time
+    assert pages.main_text(f"<article><p class='a>{LONG}</p><p>end</p></article>") == f"{LONG}\nend"
+    start = time.process_time()
+    pages.main_text("<a '>' " * 30_000 + '"')
+    pages.main_text("<a \"" * 100_001)
+    assert time.process_time() - start < 20
+
+
 def test_main_text_of_hostile_pages():
     deep = "<div>" * 20_000 + f"<p>{LONG}</p>"
     assert pages.main_text(deep) == LONG
