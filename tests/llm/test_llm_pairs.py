@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from orbisweep.llm import components, decontaminate, jaccard, licenses
+from orbisweep.llm import components, decontaminate, jaccard, licenses, seeds
 
 SCHEMA = "doc_id long, text string, component string"  # `component` clashes with an inner name
 
@@ -176,6 +176,21 @@ def test_large_test_sets_are_not_broadcast(spark, monkeypatch, broadcast):
     assert [(r["doc_id"], r["license"]) for r in licenses.scan(docs, licenses.templates(spark)).collect()] == [(2, "MIT line")]
 
 
+def test_scripts_without_spaces(spark):
+    zh, ja, th = "太阳系中最大的行星是哪一颗它有多少颗卫星", "光合成によって植物は何をつくりだしますか", "ดาวเคราะห์ดวงใดใหญ่ที่สุดในระบบสุริยะ"
+    items = spark.createDataFrame([(1, zh), (2, ja), (3, th)], "item_id long, text string")
+    docs = [(1, "前文很长。" + zh.replace("多少", "几多") + "后文也在这里。"), (2, "前の文" + ja + "後の文です。"), (3, "ก่อน" + th + "หลัง"), (4, "今天天气很好我们去公园散步"),
+            (5, "plain words of a text that holds none of the items in it")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(frame, items).collect())
+    assert got == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(frame, items).collect()) == [4, 5]
+    notice = licenses.templates(spark, {"zh": "版权所有"})
+    assert [r["doc_id"] for r in licenses.scan(spark.createDataFrame([(1, "本站内容版权所有不得转载"), (2, "没有")], "doc_id long, text string"), notice).collect()] == [1]
+    texts = spark.createDataFrame([("Latin wörter, 2 of 3 e\u0301t\u00e9", 6), ("ラーメン abc中文 x", 8), ("ที่นี่", 2)], "text string, n int")
+    assert all(len(r["h"]) == r["n"] for r in texts.select("n", seeds.word_hashes(F.col("text")).alias("h")).collect())
+
+
 def test_license_scan_finds_the_bare_notice_line(spark):
     docs = spark.createDataFrame(
         [(1, "some text\nAll rights reserved.\nmore text"), (2, "ALL RIGHTS RESERVED"), (3, "some rights reserved."), (4, "all rights are reserved")], "doc_id long, text string")
