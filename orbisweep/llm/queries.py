@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, jaccard, licenses, lines, mixing, pages, shards, toxicity, warc
+from . import decontaminate, fingerprints, jaccard, licenses, lines, mixing, pages, search, shards, toxicity, warc, whitening
 from .common import table
 
 QUERIES = {}
@@ -72,6 +72,16 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 #: A hexadecimal SHA-1 as base 32: five bits at a time, from two hexadecimal digits.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   ((((instr('0123456789abcdef', substr(x, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
@@ -95,9 +105,28 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = d.doc_id"""
 
 
+#: Every pair of a document and an item that share a term.
+_SEARCH = r"""
+WITH t AS MATERIALIZED (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS total FROM t WHERE side = 0 AND len(w) > 0),
+tf AS MATERIALIZED (SELECT row, id, n, v, count(*)::BIGINT AS tf FROM (SELECT row, id, len(w)::BIGINT AS n, unnest(w) AS v FROM t WHERE side = 0) GROUP BY ALL),
+wt AS (SELECT v, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, c GROUP BY v, docs),
+it AS (SELECT DISTINCT row AS item, id AS item_id, unnest(w) AS v FROM t WHERE side = 1),
+s AS (SELECT item, item_id, row, id AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+      FROM it JOIN wt USING (v) JOIN tf USING (v), c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op3_jaccard": _JACCARD,
+        "op12_search": _SEARCH,
         "op7_lines": r"""
 WITH l AS (SELECT doc_id, source, generate_subscripts(x, 1) AS ln, unnest(x) AS v
            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),

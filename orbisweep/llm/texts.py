@@ -79,12 +79,12 @@ class Prefix:
         return mixed(self.raw(starts, ends))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all words of a piece."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all words of a piece; `gaps` says which bytes separate them."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    gap = GAP[data]
+    gap = gaps[data]
     edge = np.zeros(len(data) + 1, bool)  # a text begins here
     edge[offsets] = True
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
