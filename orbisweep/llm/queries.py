@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, jaccard, licenses, lines, mixing, pages, search, shards, toxicity, warc, whitening
+from . import decontaminate, fingerprints, jaccard, licenses, lines, minhash, mixing, pages, search, shards, toxicity, warc, whitening
 from .common import table
 
 QUERIES = {}
@@ -82,6 +82,11 @@ def op12_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op13_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 #: A hexadecimal SHA-1 as base 32: five bits at a time, from two hexadecimal digits.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   ((((instr('0123456789abcdef', substr(x, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
@@ -105,6 +110,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = d.doc_id"""
 
 
+#: The same for shingles of four words and 80 percent.
+_MINHASH = (
+    "SELECT *, doc_id = component_id AS kept FROM (" + _JACCARD.replace("len(w) < 5", "len(w) < 4").replace("i + 4]", "i + 3]")
+    .replace("len(w) - 4", "len(w) - 3").replace("75 *", "80 *") + ")"
+)
+
+
 #: Every pair of a document and an item that share a term.
 _SEARCH = r"""
 WITH t AS MATERIALIZED (
@@ -127,6 +139,7 @@ def sql() -> dict[str, str]:
     return {
         "op3_jaccard": _JACCARD,
         "op12_search": _SEARCH,
+        "op13_minhash": _MINHASH,
         "op7_lines": r"""
 WITH l AS (SELECT doc_id, source, generate_subscripts(x, 1) AS ln, unnest(x) AS v
            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents WHERE text <> '')),
