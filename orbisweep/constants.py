@@ -62,6 +62,33 @@ MOON_DISTANCE_COS = [
 ]
 OBLIQUITY_DEG = (23.439291, -0.0130042)
 
+# --- fixed values: Earth's rotation and shape (IAU 1976/1980/1982, WGS84; nutation as in Meeus, ch. 22) ---
+J2000_JD = 2451545.0
+SIDEREAL_SECONDS = (67310.54841, 876600.0 * 3600.0 + 8640184.812866, 0.093104, -6.2e-6)
+PRECESSION_ARCSEC = {
+    "zeta": (2306.2181, 0.30188, 0.017998),
+    "theta": (2004.3109, -0.42665, -0.041833),
+    "z": (2306.2181, 1.09468, 0.018203),
+}
+#: Node of the Moon, mean longitudes of the Sun and the Moon: degrees at J2000 and per century.
+NUTATION_ANGLES_DEG = ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813))
+#: Multiples of these angles, arc seconds in longitude (sine) and in obliquity (cosine).
+NUTATION_ARCSEC = (
+    ((1, 0, 0), -17.20, 9.20),
+    ((0, 2, 0), -1.32, 0.57),
+    ((0, 0, 2), -0.23, 0.10),
+    ((2, 0, 0), 0.21, -0.09),
+)
+WGS84_A_KM = 6378.137
+WGS84_FLATTENING = 1.0 / 298.257223563
+WGS84_E2 = WGS84_FLATTENING * (2.0 - WGS84_FLATTENING)
+
+# --- fixed values: element sets (SGP4 with WGS72, Spacetrack Report 3 as revised in 2006) ---
+SGP4_MU = 398600.8
+SGP4_RE_KM = 6378.135
+SGP4_J2, SGP4_J3, SGP4_J4 = 0.001082616, -0.00000253881, -0.00000165597
+DEEP_SPACE_MIN = 225.0
+
 # --- fixed values: catalogue ----------------------------------------------------------
 OBJECT_TYPES = ["PAYLOAD", "DEBRIS", "ROCKET BODY", "UNKNOWN"]
 RCS_CLASSES = ["SMALL", "MEDIUM", "LARGE", "NONE"]

@@ -440,6 +440,66 @@ SELECT user_id, {rnd("e", 6, "ema")} FROM ema QUALIFY row_number() OVER (PARTITI
 _LINES_OK = "idx % 103 <> 0 AND idx % 107 <> 0"
 
 
+def geodetic(source: str, out: str, jd: str, steps: int = 9) -> str:
+    """CTEs `out`: rows of `source` with lat, lon, height; the latitude by fixed-point steps."""
+    poly = lambda n: "radians((%s * t + %s * t * t + %s * t * t * t) / 3600e0)" % tuple(d(c) for c in C.PRECESSION_ARCSEC[n])
+    angle = ["radians({} + {} * t)".format(*map(d, a)) for a in C.NUTATION_ANGLES_DEG]
+    arg = lambda m: " + ".join(f"{c}e0 * {a}" for c, a in zip(m, angle) if c)
+    psi = " + ".join(f"{d(c)} * sin({arg(m)})" for m, c, _ in C.NUTATION_ARCSEC)
+    eps = " + ".join(f"{d(c)} * cos({arg(m)})" for m, _, c in C.NUTATION_ARCSEC)
+    s0, s1, s2, s3 = map(d, C.SIDEREAL_SECONDS)
+    e2 = d(C.WGS84_E2)
+    text = f""",
+{out}_t AS (SELECT ({jd} - 2451545e0) / 36525e0 AS t),
+{out}_a AS (SELECT {poly("zeta")} AS pz, {poly("theta")} AS pt, {poly("z")} AS pl, radians(({psi}) / 3600e0) AS psi, radians(({eps}) / 3600e0) AS de,
+  radians({d(C.OBLIQUITY_DEG[0])} + {d(C.OBLIQUITY_DEG[1])} * t) AS ob,
+  {s0} + {s1} * t + {s2} * t * t + {s3} * t * t * t AS sec FROM {out}_t),
+{out}_1 AS (SELECT *, x * cos(pz) - y * sin(pz) AS x1, y * cos(pz) + x * sin(pz) AS y1, radians(((sec % 86400e0) + 86400e0) % 86400e0 / 240e0) + psi * cos(ob) AS spin
+  FROM {source}, {out}_a),
+{out}_2 AS (SELECT *, x1 * cos(pt) - z * sin(pt) AS x2, z * cos(pt) + x1 * sin(pt) AS z2 FROM {out}_1),
+{out}_3 AS (SELECT *, x2 * cos(pl) - y1 * sin(pl) AS x3, y1 * cos(pl) + x2 * sin(pl) AS y3 FROM {out}_2),
+{out}_4 AS (SELECT *, x3 - (y3 * cos(ob) + z2 * sin(ob)) * psi AS x4, y3 + x3 * cos(ob) * psi - z2 * de AS y4, z2 + x3 * sin(ob) * psi + y3 * de AS z4 FROM {out}_3),
+{out}_5 AS (SELECT *, x4 * cos(spin) + y4 * sin(spin) AS fx, y4 * cos(spin) - x4 * sin(spin) AS fy FROM {out}_4),
+{out}_l0 AS (SELECT *, sqrt(fx * fx + fy * fy) AS w, atan2(z4, sqrt(fx * fx + fy * fy) * (1e0 - {e2})) AS lat FROM {out}_5)"""
+    for k in range(steps):
+        text += f""",
+{out}_l{k + 1} AS (SELECT * REPLACE (atan2(z4 + {e2} * {d(C.WGS84_A_KM)} / sqrt(1e0 - {e2} * sin(lat) ** 2) * sin(lat), w) AS lat) FROM {out}_l{k})"""
+    return text + f""",
+{out} AS (SELECT *, degrees(lat) AS lat_deg, degrees(atan2(fy, fx)) AS lon_deg,
+  w * cos(lat) + z4 * sin(lat) - {d(C.WGS84_A_KM)} * sqrt(1e0 - {e2} * sin(lat) ** 2) AS height_km FROM {out}_l{steps})"""
+
+
+#: Digits of a line's first 68 columns; a minus sign counts 1.
+_SUM = "(list_sum(list_transform(string_split({0}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT WHEN c = '-' THEN 1 ELSE 0 END)) % 10)"
+
+
+def _element_sets() -> str:
+    number = "lpad((l_partkey % 100000)::VARCHAR, 5, '0')"
+    shifted = lambda factor, modulus: f"format('{{:8.4f}}', ((n * {factor}) % {modulus}) / 10000e0)"
+    return f"""
+el_1 AS (
+  SELECT *, l_orderkey * 8 + l_linenumber AS n FROM lineitem),
+el_2 AS (
+  SELECT *, '1 ' || {number} || 'U 98067A   ' || strftime(l_shipdate, '%y') || format('{{:012.8f}}', dayofyear(l_shipdate) + (n % 9973) / 10000e0)
+    || '  .00001000  00000-0 ' || ' ' || (10000 + (n * 13) % 80000) || '-4' || ' 0 ' || lpad((n % 1000)::VARCHAR, 4, ' ') AS a,
+    '2 ' || {number} || ' ' || {shifted(104729, 1799000)} || ' ' || {shifted(1299709, 3600000)} || ' ' || lpad(((n * 31) % 150000)::VARCHAR, 7, '0') || ' '
+    || {shifted(15485863, 3600000)} || ' ' || {shifted(611953, 3600000)} || ' '
+    || format('{{:11.8f}}', CASE WHEN n % 47 = 0 THEN 2e0 ELSE 11e0 END + ((n * 7919) % 45000000) / 10000000e0) || lpad((n % 100000)::VARCHAR, 5, ' ') AS b
+  FROM el_1),
+el_3 AS (
+  SELECT *, a || ({_SUM.format("a")} + (n % 53 = 0)::INT) % 10 AS c, b || {_SUM.format("b")} AS e FROM el_2),
+el AS (
+  SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity,
+    CASE WHEN n % 61 <> 0 THEN CASE WHEN n % 59 = 0 THEN substr(c, 1, 60) ELSE c END END AS one,
+    CASE WHEN n % 67 = 0 THEN '3' || substr(e, 2) ELSE e END AS two FROM el_3),
+el_status AS (
+  SELECT *, CASE WHEN one IS NULL THEN 'missing' WHEN length(one) <> 69 OR length(two) <> 69 THEN 'length'
+    WHEN one[1:2] <> '1 ' OR two[1:2] <> '2 ' OR one[3:7] <> two[3:7] THEN 'line'
+    WHEN {_SUM.format("one[1:68]")}::VARCHAR <> one[69] OR {_SUM.format("two[1:68]")}::VARCHAR <> two[69] THEN 'checksum' ELSE 'ok' END AS status FROM el),
+decoded AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, status, CASE WHEN status = 'ok' THEN one END AS o, CASE WHEN status = 'ok' THEN two END AS t FROM el_status)"""
+
+
 def _snapshot() -> str:
     return """,
 snap AS (
@@ -511,13 +571,26 @@ SELECT norad_id, object_type_ AS object_type, designator AS intl_designator, cou
     fixed = lambda e, n: f"format('{{:.{n}f}}', {e})"
     line = " || ' | ' || ".join(
         ["norad_id", "'OBJ ' || norad_id", "object_type_", "designator", "country_", "rcs_size_", "rcs_value_", "EPOCH",
-         fixed("degrees(asin(z / r))", 4), fixed("degrees(atan2(y, x))", 4), fixed(f"r - {C.R_EARTH}e0", 2)]
+         fixed("lat_deg", 4), fixed("lon_deg", 4), fixed("height_km", 2)]
         + [fixed(c, 3) for c in STATE[:3]] + [fixed(c, 5) for c in STATE[3:]]
         + [fixed("l_quantity", 2), fixed("l_tax * 100 + 90", 2), "line1", "'2 ' || l_linenumber"]
     )
-    out["catalog_format"] = f"""{objects},{LATEST},{SATCAT},{_META}
-SELECT norad_id, {line} AS line FROM meta JOIN (SELECT *, sqrt(x*x + y*y + z*z) AS r FROM objects) o ON o.idx::VARCHAR = norad_id
+    target_jd = f"(epoch_us({TARGET}) / 86400000000e0 + 2440587.5e0)"
+    out["catalog_format"] = f"""{objects}{geodetic("objects", "placed", target_jd)},{LATEST},{SATCAT},{_META}
+SELECT norad_id, {line} AS line FROM meta JOIN placed o ON o.idx::VARCHAR = norad_id
 WHERE line1 IS NOT NULL"""
+    out["geodetic_point"] = f"""{objects}{geodetic("objects", "placed", d(C.DEFAULT_EPOCH_JD))}
+SELECT idx, {rnd("lat_deg", 4, "lat_deg")}, {rnd("lon_deg", 4, "lon_deg")}, {rnd("height_km", 3, "height_km")} FROM placed"""
+    year = "(CASE WHEN o[19:20]::INT >= 57 THEN 1900 ELSE 2000 END + o[19:20]::INT)"
+    out["element_lines"] = f"""WITH{_element_sets()}
+SELECT l_orderkey, l_linenumber, status, o[3:7]::BIGINT AS number, trim(o[10:17]) AS designator,
+  (make_date({year}, 1, 1) - DATE '1970-01-01')::DOUBLE + 2440587.5e0 + floor(trim(o[21:32])::DOUBLE) - 1e0 AS epoch_day,
+  {rnd("trim(o[21:32])::DOUBLE - floor(trim(o[21:32])::DOUBLE)", 6, "epoch_fraction")},
+  {rnd("('0.' || o[55:59] || 'e' || o[60:61])::DOUBLE", 9, "drag")},
+  {rnd("trim(t[9:16])::DOUBLE", 4, "inclination")}, {rnd("trim(t[18:25])::DOUBLE", 4, "node")}, {rnd("('0.' || t[27:33])::DOUBLE", 7, "eccentricity")},
+  {rnd("trim(t[35:42])::DOUBLE", 4, "perigee")}, {rnd("trim(t[44:51])::DOUBLE", 4, "anomaly")}, {rnd("trim(t[53:63])::DOUBLE", 8, "motion")},
+  trim(t[64:68])::BIGINT AS revolution FROM decoded"""
+    out["element_line_faults"] = f"""WITH{_element_sets()} SELECT status, count(*) AS n FROM decoded GROUP BY 1"""
     out["id_batches"] = """
 SELECT p_partkey AS id, ((row_number() OVER (ORDER BY p_partkey) - 1) // 300)::BIGINT AS batch FROM part"""
     out["duplicate_ids"] = f"WITH{SATCAT} SELECT NORAD_CAT_ID AS id, count(*) AS n FROM pages_ GROUP BY 1 HAVING count(*) > 1"

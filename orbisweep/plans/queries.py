@@ -11,12 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
-from ..functions import dates, orbits, sbm, text
+from ..functions import dates, geodesy, orbits, sbm, text
 from ..functions.vectors import cols, dot, norm
 from ..operators import analytics as A, breakup as B, cells, fates, masses, ordering, propagate, screen as S
 from ..schemas import STATE
 from ..session import materialize
-from ..sources import catalog, derived, feeds, snapshots
+from ..sources import catalog, derived, elements, feeds, snapshots
 from . import simulate
 
 QUERIES = {}
@@ -205,18 +205,44 @@ def tle_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def catalog_format(spark: SparkSession, sf: str) -> DataFrame:
     state = derived.objects(spark, sf).select(F.col("idx").cast("string").alias("norad_id"), *STATE)
-    # geocentric latitude, longitude and height stand in for the geodetic point
-    r = norm(cols("x", "y", "z"))
-    rows = _latest_with_metadata(spark, sf).where(feeds.has_elements()).join(state, "norad_id").withColumns(
-        {
-            "lat_deg": F.degrees(F.asin(F.col("z") / r)),
-            "lon_deg": F.degrees(F.atan2("y", "x")),
-            "alt_km": r - F.lit(C.R_EARTH),
-        }
-    )
+    placed = geodesy.with_geodetic(state, dates.timestamp_to_jd(F.to_timestamp(F.lit(TARGET)))).withColumnRenamed("height_km", "alt_km")
+    rows = _latest_with_metadata(spark, sf).where(feeds.has_elements()).join(placed, "norad_id")
     return rows.select("norad_id", feeds.format_catalog_line().alias("line"))
 
 
+@query
+def geodetic_point(spark: SparkSession, sf: str) -> DataFrame:
+    rows = geodesy.with_geodetic(derived.objects(spark, sf).select("idx", *STATE), F.lit(EPOCH))
+    return rows.select("idx", rnd("lat_deg", 4).alias("lat_deg"), rnd("lon_deg", 4).alias("lon_deg"), rnd("height_km", 3).alias("height_km"))
+
+
+@query
+def element_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = elements.decode(derived.element_sets(spark, sf))
+    fields = ["number", "designator", "epoch_day", "epoch_fraction", "drag", "inclination", "node", "eccentricity", "perigee", "anomaly", "motion", "revolution"]
+    digits = {"epoch_fraction": 6, "drag": 9, "eccentricity": 7, "inclination": 4, "node": 4, "perigee": 4, "anomaly": 4, "motion": 8}
+    return rows.select(
+        "l_orderkey", "l_linenumber", "status",
+        *[(rnd(F.col("elements")[n], digits[n]) if n in digits else F.col("elements")[n]).alias(n) for n in fields])
+
+
+@query
+def element_line_faults(spark: SparkSession, sf: str) -> DataFrame:
+    return elements.decode(derived.element_sets(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def element_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Every set carried as many hours past its epoch as its line item has pieces."""
+    rows = elements.decode(derived.element_sets(spark, sf))
+    e = F.col("elements")
+    at = (F.col("l_quantity") / F.lit(24.0)).cast("double")
+    found = elements.with_states(rows, e["epoch_day"], e["epoch_fraction"] + at)
+    found = elements.located(found, e["epoch_day"] + e["epoch_fraction"] + at)
+    return found.select(
+        "l_orderkey", "l_linenumber", "reason", *state_columns(), rnd("lat_deg", 4).alias("lat_deg"), rnd("lon_deg", 4).alias("lon_deg"), rnd("height_km", 3).alias("height_km"))
+
+
 @query
 def id_batches(spark: SparkSession, sf: str) -> DataFrame:
     ids = derived.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))

@@ -190,3 +190,35 @@ def satcat(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("pos") / 500) + F.col("copy")).cast("bigint").alias("page"),
         "pos",
     )
+
+
+def element_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-line elements, one set per line item: most are sound, some are deep-space, some have one fault each."""
+    from . import elements
+
+    n = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    number = F.lpad(F.pmod("l_partkey", F.lit(100000)).cast("string"), 5, "0")
+    day = F.dayofyear("l_shipdate") + F.pmod(n, F.lit(9973)) / F.lit(10000.0)
+    drag = F.concat(F.lit(" "), (F.lit(10000) + F.pmod(n * 13, F.lit(80000))).cast("string"), F.lit("-4"))
+    shifted = lambda factor, modulus: F.format_string("%8.4f", F.pmod(n * F.lit(factor), F.lit(modulus)) / F.lit(10000.0))
+    motion = F.when(n % 47 == 0, F.lit(2.0)).otherwise(F.lit(11.0)) + F.pmod(n * 7919, F.lit(45_000_000)) / F.lit(1e7)
+    one = F.concat(
+        F.lit("1 "), number, F.lit("U 98067A   "), F.date_format("l_shipdate", "yy"), F.format_string("%012.8f", day),
+        F.lit("  .00001000  00000-0 "), drag, F.lit(" 0 "), F.lpad(F.pmod(n, F.lit(1000)).cast("string"), 4, " "))
+    two = F.concat(
+        F.lit("2 "), number, F.lit(" "), shifted(104729, 1_799_000), F.lit(" "), shifted(1299709, 3_600_000), F.lit(" "),
+        F.lpad(F.pmod(n * 31, F.lit(150_000)).cast("string"), 7, "0"), F.lit(" "), shifted(15485863, 3_600_000), F.lit(" "),
+        shifted(611953, 3_600_000), F.lit(" "), F.format_string("%11.8f", motion), F.lpad(F.pmod(n, F.lit(100000)).cast("string"), 5, " "))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity", n.alias("n"), one.alias("a"), two.alias("b"))
+    # a one-element explode keeps the texts from being built again for each of their digits
+    rows = rows.select("l_orderkey", "l_linenumber", "l_quantity", "n", F.explode(F.array(F.struct("a", "b"))).alias("s"))
+    a, b = F.col("s.a"), F.col("s.b")
+    wrong = F.when(F.col("n") % 53 == 0, 1).otherwise(0)
+    line1 = F.concat(a, F.pmod(elements.checksum(a) + wrong, F.lit(10)).cast("string"))
+    line2 = F.concat(b, elements.checksum(b).cast("string"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_quantity",
+        F.when(F.col("n") % 61 != 0, F.when(F.col("n") % 59 == 0, F.substring(line1, 1, 60)).otherwise(line1)).alias("TLE_LINE1"),
+        F.when(F.col("n") % 67 == 0, F.concat(F.lit("3"), F.substring(line2, 2, 68))).otherwise(line2).alias("TLE_LINE2"),
+    )
