@@ -510,6 +510,30 @@ snap AS (
     sqrt(c_acctbal**2 + (c_acctbal + 1)**2 + (c_acctbal + 2)**2) FROM customer)"""
 
 
+def _fates() -> str:
+    """Every collision in time order, one step of a recursion each; a step carries all objects."""
+    return f"""WITH RECURSIVE{OBJECTS},
+hits AS (
+  SELECT (s_suppkey * 37 % 6001) / 100e0 AS t, s_suppkey - s_suppkey % 5 AS i, s_suppkey + 100000000 + s_suppkey % 2 AS j FROM supplier),
+c AS (
+  SELECT row_number() OVER (ORDER BY t, i, j) AS n, i, j, a.mass_kg AS mi, 0.01e0 * (b.idx % 7 + 1) AS mj,
+    sqrt((a.vx - b.vx) ** 2 + (a.vy - b.vy) ** 2 + (a.vz - b.vz) ** 2) AS v
+  FROM hits JOIN objects a ON a.idx = i JOIN objects b ON b.idx = j - 100000000),
+r AS (
+  SELECT 0::BIGINT AS n, idx, TRUE AS alive, any_value(kg) AS kg FROM (SELECT i AS idx, mi AS kg FROM c UNION ALL SELECT j, mj FROM c) GROUP BY idx
+  UNION ALL
+  SELECT n + 1, idx, alive AND NOT (hit AND (idx = least_ OR idx = most AND broken)),
+    CASE WHEN hit AND idx = most AND NOT broken THEN greatest(kg - greatest(0e0, kp * v * v - kp), 0e0) ELSE kg END
+  FROM (
+    SELECT *, CASE WHEN ki >= kj THEN i ELSE j END AS most, CASE WHEN ki >= kj THEN j ELSE i END AS least_, least(ki, kj) AS kp,
+      500e0 * least(ki, kj) * v * v / greatest(ki, kj) >= {d(C.CATASTROPHIC_J_PER_G)} AS broken
+    FROM (
+      SELECT r.*, c.i, c.j, c.v, bool_and(alive) FILTER (idx = i OR idx = j) OVER () AS hit,
+        max(kg) FILTER (idx = i) OVER () AS ki, max(kg) FILTER (idx = j) OVER () AS kj
+      FROM r JOIN c ON c.n = r.n + 1)))
+SELECT idx, alive::INT AS alive, {rnd("kg", 6, "mass_kg")} FROM r WHERE n = (SELECT count(*) FROM c)"""
+
+
 def sql() -> dict[str, str]:
     objects = "WITH" + OBJECTS
     population = objects + POPULATION
@@ -590,6 +614,7 @@ SELECT l_orderkey, l_linenumber, status, o[3:7]::BIGINT AS number, trim(o[10:17]
   {rnd("trim(t[9:16])::DOUBLE", 4, "inclination")}, {rnd("trim(t[18:25])::DOUBLE", 4, "node")}, {rnd("('0.' || t[27:33])::DOUBLE", 7, "eccentricity")},
   {rnd("trim(t[35:42])::DOUBLE", 4, "perigee")}, {rnd("trim(t[44:51])::DOUBLE", 4, "anomaly")}, {rnd("trim(t[53:63])::DOUBLE", 8, "motion")},
   trim(t[64:68])::BIGINT AS revolution FROM decoded"""
+    out["collision_fates"] = _fates()
     out["element_line_faults"] = f"""WITH{_element_sets()} SELECT status, count(*) AS n FROM decoded GROUP BY 1"""
     out["id_batches"] = """
 SELECT p_partkey AS id, ((row_number() OVER (ORDER BY p_partkey) - 1) // 300)::BIGINT AS batch FROM part"""

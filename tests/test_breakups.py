@@ -93,6 +93,39 @@ def test_fates_match_a_plain_loop(spark):
     assert all(r.alive == alive[r.idx] for r in bodies.collect())
 
 
+def test_a_long_chain_takes_no_more_jobs(spark):
+    """2,000 hits on one survivor, and a chain in which every object meets the next: as many jobs as for two hits."""
+    def jobs(rows):
+        spark.sparkContext.setJobGroup("fates", "", False)
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fates"))
+        events, bodies = fates.resolve(parents(spark, rows), B.BreakupConfig())
+        out = events.count(), {r.idx: r.alive for r in bodies.collect()}
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("fates")) - before
+
+    (n, alive), few = jobs([(1.0, 0, 1, 1e6, 1e-3), (2.0, 0, 2, 1e6, 1e-3)])
+    assert n == 2 and alive == {0: True, 1: False, 2: False}
+    (n, alive), many = jobs([(float(k), 0, k, 1e6, 1e-3) for k in range(1, 2001)])
+    assert n == 2000 and alive[0] and not any(alive[k] for k in range(1, 2001))
+    assert many <= few + 6  # some more for the larger graph's rounds, none per hit
+    (n, _), _ = jobs([(float(k), k, k + 1, 100.0, 100.0) for k in range(500)])
+    assert n == 250  # every second one: both objects of a hit are gone
+    events, bodies = fates.resolve(parents(spark, [(1.0, 0, 1, 1.0, 1.0)]).limit(0), B.BreakupConfig())
+    assert events.count() == 0 and bodies.count() == 0
+
+
+def test_groups_reach_over_any_shape(spark):
+    from orbisweep.operators.groups import connected
+
+    chain = [(k, k + 1) for k in range(400)]
+    star = [(1000, 1000 + k) for k in range(1, 300)]
+    loose = [(5000, 5000), (None, 1), (7, None)]
+    edges = spark.createDataFrame(chain + star + loose, "a long, b long")
+    label = {r.node: r.label for r in connected(edges).collect()}
+    assert len(label) == 401 + 300 + 1
+    assert len({label[k] for k in range(401)}) == 1 and len({label[1000 + k] for k in range(300)}) == 1 and label[5000] == 5000
+    assert len(set(label.values())) == 3 and connected(edges.limit(0)).count() == 0
+
+
 def test_batches_do_not_change_a_run(spark, objects):
     def final(batch):
         cfg = simulate.RunConfig(duration_s=120.0, dt=60.0, batch_steps=batch, breakup=B.BreakupConfig(),
