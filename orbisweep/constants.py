@@ -131,8 +131,12 @@ SBM_MASS_POWER = 0.75
 DEFAULT_LC_M = 0.10
 AREA_COEFFICIENT = 0.540424
 PROJECTILE_DENSITY_KG_M3 = 300.0
-POISSON_BLOCK = 512.0  # a count of a larger mean is a sum of counts
-DRAWS_PER_CHUNK = 1000
+# --- fixed values: transformed rejection for Poisson counts (Hoermann 1993, PTRS) ---
+POISSON_B = (0.931, 2.53)
+POISSON_A = (-0.059, 0.02483)
+POISSON_ALPHA = (1.1239, 1.1328, 3.4)
+POISSON_SQUEEZE = (0.9277, 3.6224, 2.0)
+# --- fixed values: NASA Standard Breakup Model, continued ---
 # piecewise linear parameters over log10(size): (x0, y0, x1, y1)
 AM_ALPHA = (-1.95, 0.0, 0.55, 1.0)
 AM_MU1 = (-1.1, -0.6, 0.0, -0.95)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
-from ..functions import rng, sbm, text
+from ..functions import debris, rng, sbm
 from ..functions.vectors import cols, cross, dot, norm, scale, sub
 from ..schemas import OBJECT_COLUMNS, STATE
 from ..session import materialize
@@ -61,71 +61,77 @@ def with_energy(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
 def with_count(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     """Add `drawn`, the Poisson number of fragments, and `truncated`, how many a configured limit cut; written down.
 
-    A large mean is split into equal blocks, whose counts are drawn by as many tasks as there are blocks and summed. The
-    table keeps the count from being worked out again in every filter that Catalyst derives from the explode below;
-    it has one row per breakup.
+    Tries are numbered and `TRIES` of them looked at together; the first accepted one counts. An event without any goes on with the
+    next numbers, which happens once in 10^20 events.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("expected_fragments") / F.lit(C.POISSON_BLOCK)).cast("int"))
-    blocks = events.select(
-        "event", "expected_fragments", parts.alias("_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_block")
-    ).repartition("event", "_block")
-    count = rng.poisson(F.col("expected_fragments") / F.col("_parts"), cfg.seed, F.col("event"), 0, F.col("_block"))
-    counts = blocks.groupBy("event").agg(F.sum(count).cast("bigint").alias("_n"))
-    most = F.lit(cfg.max_fragments).cast("bigint")
-    drawn = F.col("_n") if cfg.max_fragments is None else F.least("_n", most)
-    return materialize(
-        events.join(counts, "event").withColumns({"drawn": drawn, "truncated": F.col("_n") - drawn}).drop("_n"), "events"
-    )
+    left, first, done = materialize(events, "counting"), 0, None
+    while True:
+        rows = left.select("event", F.col("expected_fragments").alias("mean"))
+        large = F.col("mean") >= rng.SMALL_MEAN
+        tries = rows.where(large).select("event", "mean", F.explode(F.sequence(F.lit(first), F.lit(first + TRIES - 1))).alias("try"))
+        tries = tries.withColumn("d", rng.digest(cfg.seed, F.col("event"), F.col("try"), 0))
+        tried = rng.with_poisson_try(tries, F.col("mean"), rng.uniform(F.col("d"), 0), rng.uniform(F.col("d"), 1), "n")
+        counts = tried.where("n IS NOT NULL").groupBy("event").agg(F.min_by("n", "try").alias("_n"))
+        u = rng.uniform(rng.digest(cfg.seed, F.col("event"), F.lit(0), 0), 0)
+        inverted = rows.where(~large & (F.col("mean") > 0)).select("event", rng.poisson_inverted(F.col("mean"), u).alias("_n"))
+        none = rows.where(~(F.col("mean") > 0) | F.col("mean").isNull()).select("event", F.lit(0).cast("bigint").alias("_n"))
+        part = materialize(left.join(counts.union(inverted).union(none), "event", "left"), "events")
+        counted = part.where("_n IS NOT NULL")
+        done = counted if done is None else done.unionByName(counted)
+        if part.where("_n IS NULL").isEmpty():
+            break
+        left, first = part.where("_n IS NULL").drop("_n"), first + TRIES
+    drawn = F.col("_n") if cfg.max_fragments is None else F.least("_n", F.lit(cfg.max_fragments).cast("bigint"))
+    return done.withColumns({"drawn": drawn, "truncated": F.col("_n") - drawn}).drop("_n")
+
+
+#: Tries of a Poisson count that are looked at together.
+TRIES = 32
+#: Draws of an event that one task makes and settles against the budgets in one go; larger events are cut into such blocks.
+BLOCK = 1 << 16
+FRAGMENT = (
+    "event long, t double, remaining_s double, k long, side int, budget double, size_m double, area_to_mass double, mass_kg double, "
+    "rcs string, x double, y double, z double, vx double, vy double, vz double"
+)
+_NEEDED = ["event", "t", "remaining_s", "v_rel_km_s", "sbm_mass_kg", *[f"{s}_{c}" for s in "tp" for c in ("budget", "size_m", *STATE)]]
+_NAMES = [part.split(" ")[0] for part in FRAGMENT.split(", ")]
+_KINDS = {"event": pa.int64(), "k": pa.int64(), "side": pa.int32(), "rcs": pa.string()}
+
+
+def _drawn(cfg: BreakupConfig, budgeted: bool):
+    """Over rows of events with `first` and `last`: the fragments in between; with `budgeted` those that the budgets can pay for."""
+    seed, lc = cfg.seed, cfg.lc_m
+
+    def run(batches):
+        for batch in batches:
+            for event in batch.to_pylist():
+                for lo in range(event["first"], event["last"] + 1, BLOCK):
+                    found = debris.draw(event, lo, min(event["last"], lo + BLOCK - 1), seed, lc)
+                    n = len(found["k"])
+                    if budgeted:
+                        keep = np.zeros(n, bool)
+                        for side, budget in enumerate((event["t_budget"], event["p_budget"])):
+                            mine = np.flatnonzero(found["side"] == side)
+                            keep[mine] = take_within_budget(found["mass_kg"][mine], budget)[0]
+                        found, n = {c: v[keep] for c, v in found.items()}, int(keep.sum())
+                    found |= {c: np.full(n, event[c]) for c in ("event", "t", "remaining_s")}
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c], _KINDS.get(c, pa.float64())) for c in _NAMES], _NAMES)
+
+    return run
 
 
 def draw_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     """Every fragment of counted events, before mass budget and escape are applied.
 
     One row per (event, k): side (0 target, 1 projectile), size, A/m, mass and birth state.
-    An event opens into chunks of draws, which are dealt out before they open into rows: a large event is drawn by
-    many tasks. Random numbers come from digests, so it does not matter by which.
+    A large event is dealt out in blocks of draws to many tasks. Random numbers come from digests, so it does not matter to which.
     """
-    size = F.lit(C.DRAWS_PER_CHUNK)
-    chunks = events.where("drawn > 0").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("drawn") - 1) / size))).alias("_chunk"))
-    chunks = chunks.repartition("event", "_chunk")
-    first = F.col("_chunk") * size + 1
-    rows = chunks.select("*", F.explode(F.sequence(first, F.least(F.col("drawn"), first + size - 1))).alias("k"))
-    rows = rows.withColumns({f"_d{s}": rng.digest(cfg.seed, F.col("event"), F.col("k"), s) for s in range(1, 6)})
-    rows = rows.withColumns(
-        {f"_u{s}{w}": rng.uniform(F.col(f"_d{s}"), w) for s in range(1, 6) for w in (0, 1)}
-    )
-    share = F.when(F.col("sbm_mass_kg") > 0, F.col("t_budget") / F.col("sbm_mass_kg")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("side", F.when(F.col("_u10") < share, 0).otherwise(1))
-    parent = lambda c: F.when(F.col("side") == 0, F.col(f"t_{c}")).otherwise(F.col(f"p_{c}"))
-    rows = rows.withColumns({f"_p_{c}": parent(c) for c in ["size_m", *STATE]})
-    rows = rows.withColumn("_budget", parent("budget"))
-    rows = rows.where(F.col("_p_size_m") > cfg.lc_m)
-    rows = rows.withColumn("size_m", sbm.size_from_uniform(F.col("_u11"), cfg.lc_m, F.col("_p_size_m")))
-    rows = rows.withColumns({"_log": F.log10("size_m"), "_z": rng.normal(F.col("_u30"), F.col("_u31"))})
-    rows = rows.withColumn(
-        "_chi", sbm.area_to_mass_log(F.col("_log"), F.col("size_m"), F.col("_u20"), F.col("_u21"), F.col("_z"))
-    )
-    rows = rows.withColumns(
-        {
-            "area_to_mass": F.pow(F.lit(10.0), F.col("_chi")),
-            "_area": F.lit(C.AREA_COEFFICIENT) * F.col("size_m") * F.col("size_m"),
-            "_dv": sbm.ejection_speed_ms(F.col("_chi"), rng.normal(F.col("_u40"), F.col("_u41")), F.col("v_rel_km_s"))
-            * F.lit(1e-3),
-            "_cz": F.lit(2.0) * F.col("_u50") - F.lit(1.0),
-            "_phi": F.lit(2 * C.PI) * F.col("_u51"),
-        }
-    )
-    rows = rows.withColumn("_sz", F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_cz") * F.col("_cz"))))
-    sz, cz, phi, dv = cols("_sz", "_cz", "_phi", "_dv")
-    direction = (sz * F.cos(phi), sz * F.sin(phi), cz)
-    return rows.select(
-        "event", "t", "remaining_s", F.col("k").cast("bigint").alias("k"), "side",
-        F.col("_budget").alias("budget"), "size_m", "area_to_mass",
-        (F.col("_area") / F.col("area_to_mass")).alias("mass_kg"),
-        text.rcs_from_area(F.col("_area")).alias("rcs"),
-        *[F.col(f"_p_{c}").alias(c) for c in ("x", "y", "z")],
-        *[(F.col(f"_p_{c}") + d * dv).alias(c) for c, d in zip(("vx", "vy", "vz"), direction)],
-    )
+    size = F.lit(BLOCK)
+    blocks = events.where("drawn > 0").select(
+        *_NEEDED, "drawn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("drawn") - 1) / size))).alias("_block"))
+    first = F.col("_block") * size + 1
+    dealt = blocks.select(*_NEEDED, "_block", first.alias("first"), F.least(F.col("drawn"), first + size - 1).alias("last"))
+    return dealt.repartition("event", "_block").mapInArrow(_drawn(cfg, False), FRAGMENT)
 
 
 def take_within_budget(masses: np.ndarray, budget: float, used: float = 0.0) -> tuple[np.ndarray, float]:
@@ -150,29 +156,75 @@ def take_within_budget(masses: np.ndarray, budget: float, used: float = 0.0) ->
     return taken, used
 
 
-def within_budget(fragments: DataFrame) -> DataFrame:
-    """Keep the fragments their parent's mass can pay for, in drawing order.
-
-    The rows of one parent are streamed in order; only the mass spent so far is carried from batch to batch, so an event
-    may have any number of fragments.
+def _fold_budget(batches):
+    """Over fragments sorted by event, side and k: those that the rest of the budget (`room`) can pay for."""
+    parent, used = None, 0.0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = {n: batch[n].to_numpy(zero_copy_only=False) for n in ("event", "side", "mass_kg", "room")}
+        change = np.flatnonzero((np.diff(table["event"]) != 0) | (np.diff(table["side"]) != 0)) + 1
+        taken = np.zeros(batch.num_rows, dtype=bool)
+        for lo, hi in zip([0, *change], [*change, batch.num_rows]):
+            this = (table["event"][lo], table["side"][lo])
+            if this != parent:
+                parent, used = this, 0.0
+            taken[lo:hi], used = take_within_budget(table["mass_kg"][lo:hi], table["room"][lo], used)
+        yield batch.select(["event", "side", "k", "mass_kg"]).filter(pa.array(taken))
+
+
+def within_budget(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Keep the fragments their parent's mass can pay for, in drawing order; an event may have any number of fragments.
+
+    Draws are summed in blocks. Blocks that fit as a whole before the first one that does not are taken as they are, wherever their rows
+    lie. That one block is opened and walked; what it leaves of the budget rules out, in all tasks at once, every
+    later fragment that is heavier, most of them. This is repeated on what is left until every parent's rest fits in one block, which
+    is walked. So no task holds more than a block of one parent, and the rounds are few: each leaves less than the lightest refused
+    fragment of its block.
     """
-    def keep(batches):
-        parent, used = None, 0.0
-        for batch in batches:
-            table = {n: batch[n].to_numpy(zero_copy_only=False) for n in ("event", "side", "mass_kg", "budget")}
-            if not batch.num_rows:
-                continue
-            change = np.flatnonzero((np.diff(table["event"]) != 0) | (np.diff(table["side"]) != 0)) + 1
-            taken = np.zeros(batch.num_rows, dtype=bool)
-            for lo, hi in zip([0, *change], [*change, batch.num_rows]):
-                this = (table["event"][lo], table["side"][lo])
-                if this != parent:
-                    parent, used = this, 0.0
-                taken[lo:hi], used = take_within_budget(table["mass_kg"][lo:hi], table["budget"][lo], used)
-            yield batch.filter(pa.array(taken))
-
-    ordered = fragments.repartition("event", "side").sortWithinPartitions("event", "side", "k")
-    return ordered.mapInArrow(keep, fragments.schema)
+    key = ["event", "side"]
+    walk = lambda rows: rows.repartition(*key).sortWithinPartitions(*key, "k").mapInArrow(_fold_budget, "event long, side int, k long, mass_kg double")
+    settled = materialize(fragments, "draws")
+    live = settled.select(*key, "k", "mass_kg", F.col("budget").alias("room"))
+    taken = []
+    while True:
+        counts = live.groupBy(*key).agg(F.count("*").alias("n"))
+        long_ = materialize(counts.where(F.col("n") > block).select(*key), "long")
+        if long_.isEmpty():
+            taken.append(walk(live).select(*key, "k"))
+            break
+        taken.append(walk(live.join(long_, key, "left_anti")).select(*key, "k"))
+        rest = materialize(live.join(long_, key, "left_semi").withColumn("block", F.floor(F.col("k") / F.lit(block))), "live")
+        sums = rest.groupBy(*key, "block").agg(F.sum("mass_kg").alias("kg"), F.first("room").alias("room"))
+        so_far = F.sum("kg").over(Window.partitionBy(*key).orderBy("block"))
+        totals = sums.withColumn("total", so_far)
+        stop = totals.groupBy(*key).agg(
+            F.min(F.when(F.col("total") > F.col("room"), F.col("block"))).alias("opened"),
+            F.coalesce(F.max(F.when(F.col("total") <= F.col("room"), F.col("total"))), F.lit(0.0)).alias("spent"))
+        marked = rest.join(stop, key)
+        taken.append(marked.where(F.col("opened").isNull() | (F.col("block") < F.col("opened"))).select(*key, "k"))
+        opened = marked.where("block = opened").withColumn("room", F.col("room") - F.col("spent"))
+        walked = materialize(walk(opened.select(*key, "k", "mass_kg", "room")), "walked")
+        taken.append(walked.select(*key, "k"))
+        used = walked.groupBy(*key).agg(F.sum("mass_kg").alias("used"))
+        later = marked.where("block > opened").join(used, key, "left").withColumn("room", F.col("room") - F.col("spent") - F.coalesce("used", F.lit(0.0)))
+        live = materialize(later.where("mass_kg <= room").select(*key, "k", "mass_kg", "room"), "live")
+    kept = taken[0]
+    for more in taken[1:]:
+        kept = kept.union(more)
+    return settled.join(kept, [*key, "k"], "left_semi")
+
+
+def kept_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
+    """Fragments of counted events that their parents can pay for, at birth.
+
+    An event of at most `BLOCK` draws is drawn and settled in one task, without a shuffle of its fragments; a larger one
+    in many (`within_budget`).
+    """
+    one = events.where((F.col("drawn") > 0) & (F.col("drawn") <= BLOCK)).select(*_NEEDED, F.lit(1).cast("bigint").alias("first"), F.col("drawn").alias("last"))
+    kept = one.repartition("event").mapInArrow(_drawn(cfg, True), FRAGMENT)
+    large = events.where(F.col("drawn") > BLOCK)
+    return kept if large.isEmpty() else kept.unionByName(within_budget(draw_fragments(large, cfg)))
 
 
 def mark_escapes(fragments: DataFrame) -> DataFrame:
@@ -204,7 +256,7 @@ def fragments_of(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
 
     `escaped` flags the unbound ones.
     """
-    return materialize(mark_escapes(within_budget(draw_fragments(events, cfg))), "fragments")
+    return materialize(mark_escapes(kept_fragments(events, cfg)), "fragments")
 
 
 def as_objects(fragments: DataFrame, epoch_jd: float, first_idx: int, first_id: int) -> DataFrame:

@@ -343,15 +343,24 @@ events_ AS MATERIALIZED (
 
 
 def _draws() -> str:
+    (b0, b1), (a0, a1), (i0, i1, i2), (v0, v1, v2) = C.POISSON_B, C.POISSON_A, C.POISSON_ALPHA, C.POISSON_SQUEEZE
     arrivals = f"""
-blocks_ AS (
-  SELECT event, expected / parts AS mean, unnest(range(0, parts)) AS block
-  FROM (SELECT event, expected, greatest(1, ceil(expected / 512e0))::BIGINT AS parts FROM events_)),
+tries AS (
+  SELECT *, {_u(0, 0, item="try")} - 0.5e0 AS u, {_u(0, 1, item="try")} AS v, {b0}e0 + {b1}e0 * sqrt(expected) AS b
+  FROM (SELECT event, expected, unnest(range(0, 40)) AS try FROM events_ WHERE expected >= 10)),
+hats AS (
+  SELECT *, 0.5e0 - abs(u) AS edge, {a0}e0 + {a1}e0 * b AS a FROM tries),
+tried AS (
+  SELECT *, floor((2e0 * a / edge + b) * u + expected + 0.43e0) AS c FROM hats WHERE edge > 0 AND v > 0),
 counts AS (
-  SELECT event, count(*) AS n FROM (
-    SELECT event, mean, sum(-ln(1e0 - {_u(0, 0, item="(block * 1048576 + k)")})) OVER (PARTITION BY event, block ORDER BY k ROWS UNBOUNDED PRECEDING) AS due
-    FROM (SELECT event, block, mean, unnest(range(1, ceil(mean + 30e0 * sqrt(mean) + 100e0)::BIGINT + 1)) AS k FROM blocks_))
-  WHERE due <= mean GROUP BY event)"""
+  SELECT event, arg_min(c, try)::BIGINT AS n FROM tried
+  WHERE c >= 0 AND (edge >= 0.07 AND v <= {v0}e0 - {v1}e0 / (b - {v2}e0)
+    OR NOT (edge < 0.013 AND v > edge)
+      AND ln(v) + ln({i0}e0 + {i1}e0 / (b - {i2}e0)) - ln(a / (edge * edge) + b) <= c * ln(expected) - expected - lgamma(c + 1e0)) GROUP BY event
+  UNION ALL
+  SELECT event, count(*) FILTER (total <= u) AS n FROM (
+    SELECT event, {_u(0, 0, item="0")} AS u, sum(exp(-expected) * pow(expected, j) / gamma(j + 1e0)) OVER (PARTITION BY event ORDER BY j) AS total
+    FROM (SELECT event, expected, unnest(range(0, 64)) AS j FROM events_ WHERE expected > 0 AND expected < 10)) GROUP BY event)"""
     side = lambda c: f"CASE WHEN side = 0 THEN t_{c} ELSE p_{c} END"
     mean = f"CASE WHEN mode < {_ramp('lg', C.AM_ALPHA)} THEN {_ramp('lg', C.AM_MU1)} + {_ramp('lg', C.AM_SIGMA1)} * z ELSE {_ramp('lg', C.AM_MU2)} + {_ramp('lg', C.AM_SIGMA2)} * z END"
     small = f"{_ramp('lg', C.AM_SMALL_MU)} + (CASE WHEN lg <= -3.5e0 THEN 0.2e0 ELSE 0.2e0 + 0.1333e0 * (lg + 3.5e0) END) * z"

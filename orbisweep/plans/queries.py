@@ -737,7 +737,7 @@ def breakup_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mass_budget(spark: SparkSession, sf: str) -> DataFrame:
-    kept = B.within_budget(B.draw_fragments(_counted(spark, sf), BREAKUP))
+    kept = B.kept_fragments(_counted(spark, sf), BREAKUP)
     return kept.groupBy("event", F.col("side").cast("bigint").alias("side")).agg(
         F.count("*").alias("n"), rnd(F.sum("mass_kg"), 4).alias("mass_kg")
     )
