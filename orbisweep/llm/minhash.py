@@ -10,8 +10,8 @@ false link is made.
 A band's list is never opened into all its pairs of rows:
 
 1. *Stars.* Every set of a list is compared with the list's first one. That joins most of each group of copies.
-2. *Best first.* Sets in one list and in different groups are compared inside the task that holds the list, in numpy; of all
-   members of a group only the likeliest partner of each set is handed on and confirmed. Repeated while it joins groups.
+2. *Best first.* Sets in one list and in different groups are compared inside the task that holds the list, in numpy; only the
+   likeliest partner of each set is handed on and confirmed. Repeated while it joins groups.
 3. *Rest.* All pairs that still cross groups are compared in the same way, each in the first band it shares; those that the posterior
    does not rule out are confirmed.
 
@@ -179,13 +179,13 @@ def confirmed(pairs: DataFrame, details: DataFrame, percent: int) -> DataFrame:
     return materialize(_with(pairs, details, "members").mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-CANDIDATE = "a long, b long, group_a long, group_b long, equal int"
+CANDIDATE = "a long, b long, equal int"
 
 
 def _crossing(percent: int, best: bool):
     """Over parts of lists, sorted: pairs of sets in different groups that the looks do not rule out.
 
-    With `best`, of the partners that a set has in one group only the likeliest.
+    With `best`, of all partners of a set in its list only the likeliest, and only if it is about as likely a link as not.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -242,22 +242,22 @@ def _compared(table: pa.Table, percent: int, best: bool) -> Iterator[pa.RecordBa
         found.append((a[mine], b[mine], equal[mine]))
         lo = hi
     a, b, equal = (np.concatenate(p) for p in zip(*found, strict=True))
-    if best and len(a):
+    if best:
+        even = equal >= percent / 100 * HASHES - HASHES**0.5 / 2
+        a, b, equal = a[even], b[even], equal[even]
         keep = np.zeros(len(a), bool)
         for x, y in ((a, b), (b, a)):  # from either side
-            order = np.lexsort((node[y], -equal, group[y], node[x]))
+            order = np.lexsort((node[y], -equal, node[x]))
             new = np.ones(len(a), bool)
-            new[1:] = (node[x][order][1:] != node[x][order][:-1]) | (group[y][order][1:] != group[y][order][:-1])
+            new[1:] = node[x][order][1:] != node[x][order][:-1]
             keep[order[new]] = True
         a, b, equal = a[keep], b[keep], equal[keep]
     if len(a):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node[a]), pa.array(node[b]), pa.array(group[a]), pa.array(group[b]), pa.array(equal.astype(np.int32))],
-            ["a", "b", "group_a", "group_b", "equal"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(equal.astype(np.int32))], ["a", "b", "equal"])
 
 
 def crossing(lists: DataFrame, groups: DataFrame | None, details: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs between groups (a, b, group_a, group_b, equal) from `lists` (list, node); sets in no group are their own."""
+    """Likely pairs between groups (a, b, equal) from `lists` (list, node); sets in no group are their own."""
     known = lists
     if groups is not None:
         known = lists.join(groups, "node", "left")
@@ -300,13 +300,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     groups = components(links)
     listed = lists.select("list", "node")
     while True:
-        found = crossing(listed, groups, details, percent, best=True)
-        # of a set's partners in a group the likeliest, from either side
-        both = found.select("a", "b", "group_b", "equal").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("group_a").alias("group_b"), "equal"))
-        top = both.groupBy("a", "group_b").agg(F.max(F.struct("equal", "b")).alias("m"))
+        found = materialize(crossing(listed, groups, details, percent, best=True), "likely")
+        both = found.union(found.select("b", "a", "equal"))  # of all lists the likeliest partner, from either side
+        top = both.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m"))
         tried = materialize(top.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct(), "best")
         fresh = confirmed(tried, details, percent)
-        discard(tried)
+        discard(tried, found)
         if fresh.isEmpty():
             break
         links = links.union(fresh)
