@@ -7,11 +7,12 @@ state x..vz at the instant of the collision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import constants as C
 from ..functions import debris, rng, sbm
@@ -105,6 +106,7 @@ def _drawn(cfg: BreakupConfig, budgeted: bool):
     def run(batches):
         for batch in batches:
             for event in batch.to_pylist():
+                used = [0.0, 0.0]
                 for lo in range(event["first"], event["last"] + 1, BLOCK):
                     found = debris.draw(event, lo, min(event["last"], lo + BLOCK - 1), seed, lc)
                     n = len(found["k"])
@@ -112,7 +114,7 @@ def _drawn(cfg: BreakupConfig, budgeted: bool):
                         keep = np.zeros(n, bool)
                         for side, budget in enumerate((event["t_budget"], event["p_budget"])):
                             mine = np.flatnonzero(found["side"] == side)
-                            keep[mine] = take_within_budget(found["mass_kg"][mine], budget)[0]
+                            keep[mine], used[side] = take_within_budget(found["mass_kg"][mine], budget, used[side])
                         found, n = {c: v[keep] for c, v in found.items()}, int(keep.sum())
                     found |= {c: np.full(n, event[c]) for c in ("event", "t", "remaining_s")}
                     yield pa.RecordBatch.from_arrays([pa.array(found[c], _KINDS.get(c, pa.float64())) for c in _NAMES], _NAMES)
@@ -227,6 +229,21 @@ def kept_fragments(events: DataFrame, cfg: BreakupConfig) -> DataFrame:
     return kept if large.isEmpty() else kept.unionByName(within_budget(draw_fragments(large, cfg)))
 
 
+def register(spark: SparkSession, cfg: BreakupConfig, name: str = "breakup_fragments") -> None:
+    """A table function for SQL: `SELECT * FROM name(TABLE(SELECT *, 1L AS first, drawn AS last FROM events))`.
+
+    Takes counted events, gives the fragments their parents can pay for, at birth. It works in the tasks that hold the events, block in and
+    block out; each row is a whole event.
+    """
+    draw = _drawn(cfg, True)
+
+    class Fragments:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield from draw([rows])
+
+    spark.udtf.register(name, F.arrow_udtf(Fragments, returnType=FRAGMENT))
+
+
 def mark_escapes(fragments: DataFrame) -> DataFrame:
     r, v = norm(cols("x", "y", "z")), cols("vx", "vy", "vz")
     return fragments.withColumn("escaped", sbm.escapes(r, dot(v, v)))

@@ -589,6 +589,11 @@ cells AS (
     arg_max(p_size + 0.5e0, p_partkey) AS kg FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2)
 SELECT m.rcs, m.type, coalesce(c.kg, m.kg) AS mass_kg FROM masses m LEFT JOIN cells c USING (rcs, type)"""
     out["satcat_dedupe"] = f"WITH{SATCAT} SELECT * FROM satcat"
+    good = "page % 7 <> 3 AND page % 11 <> 5 AND page % 13 <> 6"
+    out["satcat_json"] = f"""WITH{SATCAT.replace("FROM pages_" + chr(10), f"FROM pages_ WHERE {good}" + chr(10))} SELECT * FROM satcat"""
+    out["satcat_page_report"] = f"""WITH{SATCAT}
+SELECT page, CASE WHEN page % 7 = 3 THEN 'torn' WHEN page % 11 = 5 THEN 'error' WHEN page % 13 = 6 THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN {good} THEN count(*) ELSE 0 END AS records FROM pages_ GROUP BY page"""
     out["gp_window_filter"] = f"""WITH{HISTORY}
 SELECT norad_id, EPOCH, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM history
 WHERE norad_id IS NOT NULL AND epoch_ts::DATE BETWEEN DATE '1999-05-25' AND DATE '1999-06-15'"""
@@ -814,6 +819,7 @@ SELECT event, side::BIGINT AS side, count(*) AS n, {rnd("sum(mass_kg)", 4, "mass
     out["breakup_fragments"] = f"""{kept}
 SELECT event, k, side::BIGINT AS side, rcs, {rnd("size_m", 6, "size_m")}, {rnd("mass_kg", 5, "mass_kg")},
   {rnd("vx", 5, "vx")}, {rnd("vy", 5, "vy")}, {rnd("vz", 5, "vz")}, escaped::INT AS escaped FROM kept"""
+    out["breakup_fragments_sql"] = f"SELECT * EXCLUDE (escaped) FROM ({out['breakup_fragments']})"
     out["fragment_ids"] = f"{kept}{_NUMBERED} SELECT event, k, seq, serial + 10000000 AS id FROM numbered"
     settled = ", ".join(
         rnd(f"CASE WHEN remaining_s > 0 THEN n{c} ELSE {c} END", 2 if len(c) == 1 else 5, c) for c in STATE

@@ -14,9 +14,9 @@ from .. import constants as C
 from ..functions import dates, geodesy, orbits, sbm, text
 from ..functions.vectors import cols, dot, norm
 from ..operators import analytics as A, breakup as B, cells, fates, masses, ordering, propagate, screen as S
-from ..schemas import STATE
+from ..schemas import SATCAT_DDL, STATE
 from ..session import materialize
-from ..sources import catalog, derived, elements, feeds, snapshots
+from ..sources import catalog, derived, elements, feeds, json_pages, snapshots
 from . import simulate
 
 QUERIES = {}
@@ -165,6 +165,21 @@ def satcat_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.dedupe_satcat(derived.satcat(spark, sf))
 
 
+def _pages(spark, sf):
+    return json_pages.parse_pages(derived.satcat_json_pages(spark, sf), SATCAT_DDL.replace(" string", ": string"))
+
+
+@query
+def satcat_json(spark: SparkSession, sf: str) -> DataFrame:
+    """First record of each id over the pages that arrived whole."""
+    return feeds.dedupe_satcat(json_pages.records(_pages(spark, sf)))
+
+
+@query
+def satcat_page_report(spark: SparkSession, sf: str) -> DataFrame:
+    return json_pages.report(_pages(spark, sf))
+
+
 @query
 def gp_window_filter(spark: SparkSession, sf: str) -> DataFrame:
     target = F.to_timestamp(F.lit(TARGET))
@@ -752,6 +767,17 @@ def breakup_fragments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def breakup_fragments_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the table function, from SQL."""
+    _counted(spark, sf).createOrReplaceTempView("breakups_counted")
+    B.register(spark, BREAKUP)
+    return spark.sql(
+        """SELECT event, k, CAST(side AS bigint) AS side, rcs, round(size_m, 6) + 0d AS size_m, round(mass_kg, 5) + 0d AS mass_kg,
+             round(vx, 5) + 0d AS vx, round(vy, 5) + 0d AS vy, round(vz, 5) + 0d AS vz
+           FROM breakup_fragments(TABLE(SELECT *, 1L AS first, drawn AS last FROM breakups_counted WHERE drawn > 0))""")
+
+
 @query
 def fragment_ids(spark: SparkSession, sf: str) -> DataFrame:
     kept = B.number_fragments(_fragments(spark, sf).where("NOT escaped"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..schemas import STATE
-from ..sources.feeds import format_catalog_line
+from ..sources.feeds import format_catalog_line, has_elements
 
 SNAPSHOT_NAMES = ["x_km", "y_km", "z_km", "vx", "vy", "vz"]
 
@@ -60,10 +60,26 @@ def write_breakups(report: DataFrame, path: str) -> None:
     report.write.mode("append").parquet(path)
 
 
-def write_catalog(rows: DataFrame, path: str, epoch_iso: str) -> None:
-    """Catalogue text with header; rows are numbered by `norad_id` order."""
-    head = rows.sparkSession.createDataFrame(
-        [(-1, f"# Date de reference (epoch commun) : {epoch_iso}")], "place bigint, value string"
-    )
-    body = rows.select(F.col("norad_id").cast("bigint").alias("place"), format_catalog_line().alias("value"))
-    head.unionByName(body).orderBy("place").select("value").write.mode("overwrite").text(path)
+def write_catalog(rows: DataFrame, path: str, epoch_iso: str) -> tuple[int, int]:
+    """Catalogue text: header, one line per row in `norad_id` order, footer with the counts of written and failed rows.
+
+    Rows without both element lines or without a state are failed and have no line. The counts are taken while the lines are
+    written, so the rows are worked out once; the footer follows as the last part. Returns (written, failed).
+    """
+    spark = rows.sparkSession
+    sound = has_elements() & F.col("x").isNotNull() & F.col("vx").isNotNull() & F.col("lat_deg").isNotNull()
+    head = spark.createDataFrame([(-1, f"# Date de reference (epoch commun) : {epoch_iso}")], "place bigint, value string")
+    body = rows.select(
+        F.coalesce(F.col("norad_id").try_cast("bigint"), F.lit((1 << 63) - 1)).alias("place"),
+        F.when(F.coalesce(sound, F.lit(False)), format_catalog_line()).alias("value"))
+    counts = Observation()
+    placed = head.unionByName(body).orderBy("place", "value").observe(
+        counts, F.count_if((F.col("place") >= 0) & F.col("value").isNotNull()).alias("written"), F.count_if(F.col("value").isNull()).alias("failed"))
+    placed.where(F.col("value").isNotNull()).select("value").write.mode("overwrite").text(path)
+    written, failed = counts.get["written"], counts.get["failed"]
+    # the row of the last of so many partitions goes to a file whose name comes after all others
+    parts = len(spark.read.text(path).inputFiles()) + 1
+    last = spark.range(0, parts, 1, parts).where(F.col("id") == parts - 1)
+    text = f"# Total propages avec succes : {written}\n# Total echecs (TLE invalide/decaye) : {failed}"
+    last.select(F.lit(text).alias("value")).write.mode("append").text(path)
+    return written, failed

@@ -155,8 +155,9 @@ def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gp_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element-set history: one record per line item; some are malformed or lack elements."""
     n = F.col("l_orderkey") + F.col("l_linenumber")
-    epoch = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", F.col("l_shipdate").cast("timestamp").alias("at"))
+    epoch = F.replace(F.col("at").cast("string"), F.lit(" "), F.lit("T"))  # whole seconds: `yyyy-MM-dd HH:mm:ss`
+    return lines.select(
         F.when(n % 71 == 0, F.lit(None)).otherwise(F.concat(F.lit(" "), F.col("l_partkey"))).cast("string").alias("NORAD_CAT_ID"),
         F.when(n % 67 == 0, F.lit("unknown")).otherwise(F.concat(epoch, F.lit(".250000"))).alias("EPOCH"),
         F.concat(F.lit("OBJ "), F.col("l_partkey")).alias("OBJECT_NAME"),
@@ -192,6 +193,18 @@ def satcat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def satcat_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The satellite catalogue as a service sends it: pages of JSON text, some torn, some error messages."""
+    record = F.struct("pos", "NORAD_CAT_ID", "OBJECT_TYPE", "RCS_SIZE", "RCSVALUE", "OBJECT_ID", "COUNTRY")
+    pages = satcat(spark, sf_dir).groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(record))).alias("body"))
+    body = F.col("body")
+    return pages.select(
+        "page",
+        F.when(F.col("page") % 7 == 3, F.substring(body, F.lit(1), F.length(body) - 9))
+        .when(F.col("page") % 11 == 5, F.lit('{"error": "limit reached"}')).when(F.col("page") % 13 == 6, F.lit("")).otherwise(body).alias("body"),
+    )
+
+
 def element_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-line elements, one set per line item: most are sound, some are deep-space, some have one fault each."""
     from . import elements

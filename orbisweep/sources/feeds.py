@@ -37,13 +37,14 @@ def request_window(target: Column, days: int = C.GP_WINDOW_DAYS) -> tuple[Column
 
 
 def parse_epoch(records: DataFrame) -> DataFrame:
-    """Add `norad_id` and `epoch_ts`; the fraction of a second is cut off."""
-    return records.withColumns(
-        {
-            "norad_id": text.trim_blanks(F.col("NORAD_CAT_ID")),
-            "epoch_ts": F.try_to_timestamp(F.substring_index("EPOCH", ".", 1), F.lit(EPOCH_FORMAT)),
-        }
-    )
+    """Add `norad_id` and `epoch_ts`; the fraction of a second is cut off, anything but date, T and time is null.
+
+    The one-element explode is a boundary: filters on what was parsed do not parse again.
+    """
+    text_ = F.substring_index("EPOCH", ".", 1)
+    whole = (F.length(text_) == 19) & text_.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T")
+    parsed = F.struct(text.trim_blanks(F.col("NORAD_CAT_ID")).alias("norad_id"), F.when(whole, text_.try_cast("timestamp")).alias("epoch_ts"))
+    return records.select("*", F.explode(F.array(parsed)).alias("_parsed")).select(*records.columns, "_parsed.norad_id", "_parsed.epoch_ts")
 
 
 def window_filter(records: DataFrame, target: Column, days: int = C.GP_WINDOW_DAYS) -> DataFrame:

@@ -105,3 +105,40 @@ def test_options():
     assert not cli.parse(["c.txt", "--radius-scale", "3"]).screen
     with pytest.raises(SystemExit):
         cli.parse(["c.txt", "--nonsense"])
+
+
+def test_a_torn_page_costs_its_own_records(spark, tmp_path):
+    from orbisweep.sources import json_pages
+
+    bodies = {
+        1: '[{"NORAD_CAT_ID": "5", "COUNTRY": "US", "extra": [1]}, {"NORAD_CAT_ID": 25544}]', 2: '[{"NORAD_CAT_ID": "7"}, {"NORAD_CAT',
+        3: '{"error": "limit"}', 4: " ", 5: "[]", 6: "<html>", 7: '[{"NORAD_CAT_ID": "9"}, null, 3]', 8: '[{"NORAD_CAT_ID": "5"}]x',
+    }
+    for page, body in bodies.items():
+        (tmp_path / f"satcat_{page}.json").write_text(body)
+    parsed = json_pages.parse_pages(json_pages.read_pages(spark, str(tmp_path)), "NORAD_CAT_ID: string, COUNTRY: string")
+    status = {r.page: (r.status, r.records) for r in json_pages.report(parsed).collect()}
+    assert {p: s for p, (s, _) in status.items()} == {1: "ok", 2: "torn", 3: "error", 4: "empty", 5: "ok", 6: "torn", 7: "ok", 8: status[8][0]}
+    assert status[1][1] == 2 and status[5][1] == 0 and status[2][1] == 0
+    got = {(r.page, r.pos, r.NORAD_CAT_ID, r.COUNTRY) for r in json_pages.records(parsed.where("page < 7")).collect()}
+    assert got == {(1, 0, "5", "US"), (1, 1, "25544", None)}
+    assert json_pages.report(parsed.where("page > 99")).count() == 0
+
+
+def test_catalogue_file_with_footer_round_trip(spark, tmp_path):
+    from orbisweep.sinks import outputs
+    from orbisweep.sources import catalog
+
+    names = ["norad_id", "OBJECT_NAME", "object_type", "intl_designator", "country", "rcs_size", "rcs_value", "EPOCH", "lat_deg", "lon_deg",
+             "alt_km", "x", "y", "z", "vx", "vy", "vz", "INCLINATION", "PERIOD", "TLE_LINE1", "TLE_LINE2"]
+    row = lambda k, one="1 A", x=7000.0: (str(k), f" O{k} ", "PAYLOAD", "1998-067A", "US", "LARGE", "", "2026-07-31T00:00:00", 1.0, 2.0, 400.0, x, 0.0, 0.0, 0.0, 7.5, 0.0, "51.6", "92.9", one, "2 B")
+    data = [row(k) for k in range(300, 0, -1)] + [row(900, None), row(901, ""), row(902, x=None)]
+    schema = ", ".join(f"{n} {'double' if n in ('lat_deg', 'lon_deg', 'alt_km', 'x', 'y', 'z', 'vx', 'vy', 'vz') else 'string'}" for n in names)
+    path = str(tmp_path / "catalogue")
+    assert outputs.write_catalog(spark.createDataFrame(data, schema).repartition(5), path, "2026-07-31T00:00:00+00:00") == (300, 3)
+    parts = sorted(f for f in (tmp_path / "catalogue").iterdir() if f.suffix == ".txt" and f.stat().st_size)
+    lines = [line for f in parts for line in f.read_text().splitlines()]
+    assert lines[0].startswith("# Date de reference") and lines[-2:] == ["# Total propages avec succes : 300", "# Total echecs (TLE invalide/decaye) : 3"]
+    assert [int(line.split(" | ")[0]) for line in lines[1:-2]] == list(range(1, 301))
+    objects, dropped = catalog.load_catalog(spark, path)
+    assert objects.count() == 300 and dropped.first().dropped == 0
