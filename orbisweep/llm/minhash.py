@@ -2,7 +2,7 @@
 
 Sets are distinct word shingles; equal sets are one node. 32 bands of five MinHashes bring sets together: two sets at the
 threshold of 80 percent share no band once in 300,000. Whether candidates are links is then settled step by step. Their signatures
-(512 MinHashes of 16 bits) are compared a batch at a time; with m of h equal and an even prior, the similarity reaches
+(1,024 MinHashes of 16 bits) are compared a batch at a time; with m of h equal and an even prior, the similarity reaches
 the threshold with probability P(Binomial(h + 1, t) <= m), and a pair is dropped once that is below `MISS`. What is left
 after the last batch is confirmed on the full sets. So a link in a common band is lost only with the chosen probability, and no
 false link is made.
@@ -11,7 +11,7 @@ A band's list is never opened into all its pairs of rows:
 
 1. *Stars.* Every set of a list is compared with the list's first one. That joins most of each group of copies.
 2. *Best first.* Sets in one list and in different groups are compared inside the task that holds the list, in numpy; only the
-   likeliest partner of each set is handed on and confirmed. Repeated while it joins groups.
+   likeliest partner of each set is handed on and confirmed. Repeated while most of these are links.
 3. *Rest.* All pairs that still cross groups are compared in the same way, each in the first band it shares; those that the posterior
    does not rule out are confirmed.
 
@@ -34,7 +34,7 @@ from .jaccard import _among, _node
 from .texts import mixed, shingle_sets
 
 BANDS, ROWS = 32, 5
-HASHES, LOOKS = 512, (32, 64, 128, 256, 512)
+HASHES, LOOKS = 1024, (32, 64, 128, 256, 512, 1024)
 #: A pair is dropped once it is a link with less than this probability.
 MISS = 1e-5
 #: Sets a part of a list holds on average; pairs a task compares at a time.
@@ -256,16 +256,18 @@ def _compared(table: pa.Table, percent: int, best: bool) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(equal.astype(np.int32))], ["a", "b", "equal"])
 
 
-def crossing(lists: DataFrame, groups: DataFrame | None, details: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs between groups (a, b, equal) from `lists` (list, node); sets in no group are their own."""
-    known = lists
-    if groups is not None:
-        known = lists.join(groups, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node") if groups is not None else F.col("node"))
+def still_open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of `lists` (list, node) those with sets of more than one group, with component and parts; sets in no group are their own."""
+    known = lists.select("list", "node").join(groups, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
     sizes = known.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y")
     parts = F.ceil(F.col("rows") / F.lit(PART)).cast("int")
-    open_ = known.join(sizes.select("list", parts.alias("parts")), "list").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = open_.select("list", "node", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+    return materialize(known.join(sizes.select("list", parts.alias("parts")), "list"), "open-lists")
+
+
+def crossing(open_: DataFrame, details: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Likely pairs between groups (a, b, equal) in `open_` lists."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = open_.select("list", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "list", "node", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     full = dealt.join(details.select("node", "signature"), "node")
     sorted_ = full.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high", "part", "node")
@@ -298,19 +300,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     links = confirmed(stars, details, percent)
     discard(stars)
     groups = components(links)
-    listed = lists.select("list", "node")
+    open_ = still_open(lists, groups)
     while True:
-        found = materialize(crossing(listed, groups, details, percent, best=True), "likely")
+        found = materialize(crossing(open_, details, percent, best=True), "likely")
         both = found.union(found.select("b", "a", "equal"))  # of all lists the likeliest partner, from either side
         top = both.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("m"))
         tried = materialize(top.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct(), "best")
         fresh = confirmed(tried, details, percent)
+        compared, linked = tried.count(), fresh.count()
         discard(tried, found)
-        if fresh.isEmpty():
+        if linked:
+            links = links.union(fresh)
+            groups = components(links)
+            before, open_ = open_, still_open(open_, groups)
+            discard(before)
+        if 4 * linked <= compared:  # a round saves work only while most of its pairs are links
             break
-        links = links.union(fresh)
-        groups = components(links)
-    rest = materialize(crossing(listed, groups, details, percent, best=False).select("a", "b"), "rest")
+    rest = materialize(crossing(open_, details, percent, best=False).select("a", "b"), "rest")
     last = confirmed(rest, details, percent)
     if not last.isEmpty():
         groups = components(links.union(last))
@@ -320,7 +326,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     named = materialize(nodes, "nodes")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component", "component_id")
-    discard(lists, details, rest, one)
+    discard(lists, open_, details, rest, one)
     some = filled.select("doc_id", "key", "n", "node").join(by_node, "node").select("doc_id", "n", "component_id", "component", "key")
     none = digests.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "key")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | (F.col("n") == 0)

@@ -84,11 +84,11 @@ def test_empty_table(spark):
 def test_bounds_lose_links_with_the_chosen_probability():
     rng = np.random.default_rng(4)
     least = minhash.least_equal(minhash.LOOKS, 80, minhash.MISS)
-    assert least == sorted(least) and least[-1] > 0.7 * 512
-    runs = rng.random((20_000, 512)) < 0.8
+    assert least == sorted(least) and least[-1] > 0.74 * minhash.HASHES
+    runs = rng.random((20_000, minhash.HASHES)) < 0.8
     passed = np.all([runs[:, :h].sum(axis=1) >= m for h, m in zip(minhash.LOOKS, least)], axis=0)
     assert (~passed).mean() < 3e-4
-    far = rng.random((5_000, 512)) < 0.6
+    far = rng.random((5_000, minhash.HASHES)) < 0.6
     assert not np.any(np.all([far[:, :h].sum(axis=1) >= m for h, m in zip(minhash.LOOKS, least)], axis=0))
 
 
