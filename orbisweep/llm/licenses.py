@@ -120,10 +120,14 @@ def _shingles(name: str) -> Column:
     )
 
 
-def _smallest_of_parts(ordered: str) -> Column:
-    """On rows (i, value) exploded from a sorted array: whether the value is the first of its part."""
+def _bands(ordered: str) -> Column:
+    """On rows (i, band) exploded from a sorted array: whether the value is a band, that is the first of its part.
+
+    In the classes of lines, which have to be contained whole, every shingle is one: a short line shares its parts with whatever
+    stands next to it.
+    """
     part = lambda x: F.shiftright(x, 64 - PARTS_BITS)
-    return (F.col("i") == 0) | (part(F.get(F.col(ordered), F.col("i") - 1)) != part(F.col("band")))
+    return (F.col("width") <= LINE_WIDTH) | (F.col("i") == 0) | (part(F.get(F.col(ordered), F.col("i") - 1)) != part(F.col("band")))
 
 
 def width_for(shingles: int) -> int:
@@ -149,7 +153,7 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
     for w in reversed(sizes):
         width = F.when(F.size("ts") * 4 <= F.lit(3 * w), F.lit(w)).otherwise(width)
     forms = forms.withColumn("width", width).withColumn("ordered", F.sort_array("ts"))
-    bands = forms.select("license", "width", "ts", "ordered", F.posexplode("ordered").alias("i", "band")).where(_smallest_of_parts("ordered")).select(
+    bands = forms.select("license", "width", "ts", "ordered", F.posexplode("ordered").alias("i", "band")).where(_bands("ordered")).select(
         "license", "ts", "width", "band")
     small = bands.count() <= BROADCAST_BANDS
     bands = F.broadcast(bands) if small else bands.hint("merge")
@@ -163,7 +167,7 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
         .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("sh") - F.lit(1), F.lit(0)), F.expr("greatest(width div 4, 1)").cast("int"))).alias("start"))
         .select("*", F.sort_array(F.slice("sh", F.col("start") + 1, F.col("width"))).alias("ordered"))
         .select("*", F.posexplode("ordered").alias("i", "band"))
-        .where(_smallest_of_parts("ordered"))
+        .where(_bands("ordered"))
     )
     first = F.greatest(F.col("start") - F.expr("width div 4"), F.lit(0))
     around = F.slice("sh", first + 1, F.col("width") + F.expr("width div 2"))

@@ -232,3 +232,29 @@ def test_license_scan(spark):
     assert licenses.scan(frame.limit(0), licenses.templates(spark)).count() == 0
     assert licenses.scan(frame, licenses.templates(spark).limit(0)).count() == 0
     assert found[0]["first_word"] <= found[0]["last_word"] and F is not None
+
+
+def test_a_bare_line_is_found_wherever_it_stands(spark):
+    rng = random.Random(12)
+    other = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"All rights reserved. {other(60)}" for _ in range(700)] + [f"{other(30)} All rights reserved. {other(30)}" for _ in range(700)]
+    texts += [f"{other(60)} All rights reserved." for _ in range(700)] + [other(60) for _ in range(50)] + ["All rights reserved."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = licenses.scan(docs, licenses.templates(spark))
+    assert {r["doc_id"] for r in found.collect()} == {i for i, t in enumerate(texts) if "rights" in t}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_short_items_are_found_word_for_word(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    rng = random.Random(6)
+    items = [(n, " ".join(words(rng, n, 10**6))) for n in range(1, 8)] + [(1, "zz"), (None, "null id item"), (9, None), (10, "")]
+    texts = [(n, " ".join(words(rng, 20, 10**6) + t.split() + words(rng, 5, 10**6) + t.split())) for n, t in items[:7]]
+    changed = [(100 + n, " ".join(words(rng, 20, 10**6) + t.split()[:-1] + ["other"])) for n, t in items[1:7]]
+    rows = texts + changed + [(200, "Null, id: ITEM"), (201, None), (202, "zz"), (202, "zz"), (203, " ".join(words(rng, 20_000, 10**6) + ["zz"]))]
+    docs = spark.createDataFrame([(d, t, 0, 0) for d, t in rows], "doc_id long, text string, pos int, seed int").repartition(4)
+    got = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string"))
+    seen = sorted((r["doc_id"], r["item_id"], r["first_word"], r["last_word"], r["matched"], r["substituted"]) for r in got.where("item_id IS NOT NULL").collect())
+    want = [(n, n, 20, 19 + n, n, 0) for n in range(1, 8)] + [(202, 1, 0, 0, 1, 0)] * 2 + [(203, 1, 20_000, 20_000, 1, 0)]
+    assert seen == sorted(want)
+    assert [(r["doc_id"], r["matched"]) for r in got.where("item_id IS NULL").collect()] == [(200, 3)]
