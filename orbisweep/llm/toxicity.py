@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import ahocorasick
 import numpy as np
@@ -204,8 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = materialize(docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key"), "labelled")
     names = [f"m{k}" for k in range(len(_DRAWS))]
     marks = sample.mapInArrow(_marks, "key long, label int, " + ", ".join(f"{m} long" for m in names)).toPandas().sort_values("key")
-    for m in names:  # one of each run of copies; a few numbers per sampled document
-        marks = marks.drop_duplicates(["label", m])
+    for three in combinations(names, len(names) - 1):  # one of each run of near copies: all marks but one are equal
+        marks = marks.drop_duplicates(["label", *three])
     single = docs.sparkSession.createDataFrame(marks[["key"]].drop_duplicates().rename(columns={"key": "__key"}), "__key long")
     rows = sample.dropDuplicates(["__key"]).join(F.broadcast(single), "__key", "left_semi").select("text", "label")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
