@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize, numbered, packed
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 ROWS_PER_PART = 4096
 
 
@@ -211,16 +211,26 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_texts(mixed: Mix, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The mix as documents: one row per document and epoch in which any of its words are taken.
 
-    A document whose words are all taken keeps its text as it was; of others the taken words remain, in
-    order, separated by single spaces.
+    A document whose words are all taken keeps its text as it was. Of others the taken words remain, in order and with the white
+    space between them; a line break stands for words left out in between. Rows without words (null, blank) cost the mix nothing and
+    stay once, as they are.
     """
     spans = mixed.uses.groupBy("mix_row", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("__spans"), F.sum("words").alias("__words")
     )
     own = F.col(f"doc.`{text}`")
-    words = F.regexp_extract_all(own, F.lit(WORD), F.lit(0))
-    pieces = F.flatten(F.transform("__spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int"))))
-    cut = F.when(F.col("__words") == F.col("size"), own).otherwise(F.array_join(pieces, " "))
-    out = mixed.documents.select("doc", "size", "mix_row").join(spans, "mix_row").withColumn("__text", cut)
-    changed = {text: F.col("__text"), n_chars: F.char_length("__text").cast("bigint")}
+    tokens = F.regexp_extract_all(own, F.lit(f"{GAP}*{WORD}"), F.lit(0))  # each word with the white space before it
+
+    def stretch(span, i):
+        taken = F.array_join(F.slice(tokens, (span["first_word"] + 1).cast("int"), span["words"].cast("int")), "")
+        before = F.get("__spans", i - 1)
+        goes_on = (i > 0) & (before["first_word"] + before["words"] == span["first_word"])
+        return F.when(goes_on, taken).otherwise(F.concat(F.lit("\n"), F.regexp_replace(taken, f"^{GAP}+", "")))
+
+    pieces = F.array_join(F.transform("__spans", stretch), "")
+    cut = F.when(F.col("__words") == F.col("size"), own).otherwise(F.substring(pieces, F.lit(2), F.char_length(pieces)))
+    some = mixed.documents.select("doc", "size", "mix_row").join(spans, "mix_row").select("doc", cut.alias("__text"))
+    wordless = mixed.documents.where("size = 0").select("doc", own.alias("__text"))
+    out = some.union(wordless)
+    changed = {text: F.col("__text"), n_chars: F.coalesce(F.char_length("__text").cast("bigint"), F.lit(0).cast("bigint"))}
     return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in out.schema["doc"].dataType.names])

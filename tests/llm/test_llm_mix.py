@@ -62,10 +62,23 @@ def test_mix_meets_its_targets(spark):
     texts = mixing.mixed_texts(mixed).collect()
     words = Counter()
     for r in texts:
-        assert r["n_chars"] == len(r["text"])
-        words[r["source"]] += len(r["text"].split())
-        assert set(r["text"].split()) <= set(w for d, t, _ in rows if d == r["doc_id"] for w in (t or "").split())
+        assert r["n_chars"] == len(r["text"] or "")
+        words[r["source"]] += len((r["text"] or "").split())
+        assert set((r["text"] or "").split()) <= set(w for d, t, _ in rows if d == r["doc_id"] for w in (t or "").split())
     assert words == +taken
+    blank = lambda found: Counter(str((d, t)) for d, t in found if not (t or "").split())
+    assert blank((r["doc_id"], r["text"]) for r in texts) == blank((d, t) for d, t, _ in rows)
+
+
+def test_taken_stretches_keep_their_white_space(spark):
+    from types import SimpleNamespace
+
+    text = "one\ttwo\n\nthree  four\nfive six  "
+    docs = spark.createDataFrame([((1, text), 6, 1), ((2, None), 0, 2), ((3, " \n"), 0, 3)], "doc struct<doc_id: long, text: string>, size long, mix_row long")
+    uses = spark.createDataFrame(
+        [(1, 0, 0, 2), (1, 0, 2, 1), (1, 0, 4, 1), (1, 1, 0, 3), (1, 1, 3, 3), (1, 2, 5, 1)], "mix_row long, epoch int, first_word long, words long")
+    got = sorted(str(r["text"]) for r in mixing.mixed_texts(SimpleNamespace(documents=docs, uses=uses)).collect())
+    assert got == sorted(["one\ttwo\n\nthree\nfive", text, "six", "None", " \n"])
 
 
 def test_mix_of_nothing(spark):
