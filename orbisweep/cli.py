@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .functions import orbits
 from .operators import analytics as A, breakup as B, masses as M, propagate, screen as S
 from .plans import simulate
 from .session import build_session
@@ -51,10 +52,39 @@ def run_config(a: argparse.Namespace, epoch_jd: float) -> simulate.RunConfig:
         duration_s=a.hours * 3600.0, dt=a.dt, epoch_jd=epoch_jd,
         screening=screening if a.screen else None, threshold_is_explicit=a.conj_km is not None,
         breakup=B.BreakupConfig(lc_m=a.lc, seed=a.seed) if a.breakup else None, impact=impact,
-        output_every_s=0.0 if a.ids else a.output_s,
+        output_every_s=track_every_s(a) if a.ids and a.breakup else 0.0 if a.ids else a.output_s,
     )
 
 
+def track_every_s(a: argparse.Namespace) -> float:
+    return a.output_s or 60.0
+
+
+def tracked_path(objects: DataFrame, ids: list[int], cfg: simulate.RunConfig, every_s: float, done: simulate.Run) -> DataFrame:
+    """t_s, id, name, x_km, y_km, z_km of the tracked objects, from the start on.
+
+    A run with breakups tells them from its own states, so that what became of an object shows; without breakups nothing disturbs
+    an object and only the tracked ones are propagated again.
+    """
+    mine = F.col("id").isin(ids)
+    shown = ["t_s", "id", "name", *[F.col(c).alias(f"{c}_km") for c in "xyz"]]
+    if not cfg.breakup:
+        tracked = objects.where(mine)
+        path = propagate.sample_states(tracked, cfg.epoch_jd, cfg.dt, cfg.steps, max(1, int(every_s / cfg.dt)))
+        return path.join(tracked.select("idx", "id", "name"), "idx").select(*shown)
+    at = lambda t, rows: rows.where(mine).withColumn("t_s", F.lit(float(t))).select(*shown)
+    path = at(0.0, done.initial)
+    for t, rows in done.snapshots:
+        path = path.unionByName(at(t, rows))
+    return path
+
+
+def moon_path(path: DataFrame, epoch_jd: float) -> DataFrame:
+    """t_s, x_km, y_km, z_km of the Moon at the instants of a path."""
+    times = path.select("t_s").distinct()
+    return orbits.with_moon(times, orbits.julian_date(epoch_jd, F.col("t_s")), ("x_km", "y_km", "z_km")).select("t_s", "x_km", "y_km", "z_km")
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parse(argv)
     spark = build_session(a.master or f"local[{a.threads or '*'}]")
@@ -65,17 +95,14 @@ def main(argv: list[str] | None = None) -> int:
     lost = dropped.first().dropped
     if lost:
         print(f"{lost} lines dropped")
-    if a.ids:
-        tracked = objects.where(F.col("id").isin([int(v) for v in a.ids.split(",")]))
-        every = max(1, int((a.output_s or 60.0) / a.dt))
-        path = propagate.sample_states(tracked, cfg.epoch_jd, cfg.dt, cfg.steps, every)
-        named = path.join(tracked.select("idx", "id", "name"), "idx").select(
-            "t_s", "id", "name", *[F.col(c).alias(f"{c}_km") for c in "xyz"]
-        )
-        outputs.write_csv(named.orderBy("t_s", "id"), f"{a.out}/trajectories")
     done = simulate.run(objects, cfg)
     outputs.write_table(done.final, f"{a.out}/final_state")
-    outputs.write_snapshots(done.snapshots, f"{a.out}/snapshots")
+    if a.ids:
+        path = tracked_path(objects, [int(v) for v in a.ids.split(",")], cfg, track_every_s(a), done)
+        outputs.write_csv(path.orderBy("t_s", "id"), f"{a.out}/trajectories")
+        outputs.write_csv(moon_path(path, cfg.epoch_jd).orderBy("t_s"), f"{a.out}/moon")
+    else:
+        outputs.write_snapshots(done.snapshots, f"{a.out}/snapshots")
     A.catalog_fate(done.final, done.initial).show()
     if done.conjunctions is not None:
         named = S.with_names(done.conjunctions, done.final)

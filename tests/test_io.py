@@ -142,3 +142,21 @@ def test_catalogue_file_with_footer_round_trip(spark, tmp_path):
     assert [int(line.split(" | ")[0]) for line in lines[1:-2]] == list(range(1, 301))
     objects, dropped = catalog.load_catalog(spark, path)
     assert objects.count() == 300 and dropped.first().dropped == 0
+
+
+def test_tracked_objects_follow_the_run_and_the_moon_its_instants(spark, tmp_path):
+    from orbisweep.plans import simulate
+    from orbisweep.sinks import outputs
+    from orbisweep.sources import snapshots
+
+    at = lambda x: spark.createDataFrame([(1, 7, "A", x, 0.0, 0.0), (2, 8, "B", x + 5, 0.0, 0.0)], "idx long, id long, name string, x double, y double, z double")
+    a = cli.parse(["c.txt", "1", "30", "0", "7", "--breakup"])
+    cfg = cli.run_config(a, C.DEFAULT_EPOCH_JD)
+    assert cfg.output_every_s == 60.0 and cli.run_config(cli.parse(["c.txt", "1", "30", "0", "7"]), 0.0).output_every_s == 0.0
+    done = simulate.Run(initial=at(1.0), final=at(9.0), snapshots=[(60.0, at(2.0)), (120.0, at(2.5))])
+    path = cli.tracked_path(at(1.0), [7, 99], cfg, 60.0, done)
+    assert sorted(tuple(r) for r in path.collect()) == [(0.0, 7, "A", 1.0, 0.0, 0.0), (60.0, 7, "A", 2.0, 0.0, 0.0), (120.0, 7, "A", 2.5, 0.0, 0.0)]
+    outputs.write_csv(cli.moon_path(path, cfg.epoch_jd).orderBy("t_s"), str(tmp_path / "moon"))
+    read = snapshots.read_moon_path(spark, str(tmp_path / "moon")).collect()
+    assert sorted(r.t_s for r in read) == [0.0, 60.0, 120.0]
+    assert all(350_000 < (r.x_km**2 + r.y_km**2 + r.z_km**2) ** 0.5 < 410_000 for r in read)
