@@ -11,7 +11,9 @@ at once, and only entries whose position leaves room as the smaller set can open
 *Answer level.* No list produces all its pairs. First every entry is compared only with the first entry before
 it that may be similar, its centre (`stars`). The exact answers give groups. A pair inside a group needs no answer: it is connected
 already. For a pair across groups the answer follows from that of the centres: the overlap of x and z is
-at most that of their centres plus what x and z have beyond them. Only pairs that this leaves open are compared (`crossing`).
+at most that of their centres plus what x and z have beyond them. So lists meet by centre, bitmaps of the centres' sets rule out
+most pairs before they are listed, the centres' answers rule out whole families, a set's answer for the other family's centre most of
+the rest. Only pairs that all this leaves open are compared (`crossing`).
 
 Components are exact: every pair over the threshold is either compared or within one group. Lists of frequent shingles are
 salted, their centres meet in a second round; joins are by key and can be split where keys are hot. Sets are
@@ -34,6 +36,8 @@ from .texts import mixed, shingle_sets
 
 BUCKET_BITS, BLOCK = 20, 4096
 LEVEL_BITS, UNSALTED = 4, 3
+#: Bits of a set's bitmap. Sets that fill it rule nothing out; what is left is compared as ever.
+SET_BITS = 1024
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -48,29 +52,45 @@ def _node(found: np.ndarray) -> np.uint64:
     return mixed(both ^ np.array([0, 1], np.uint64)).sum(dtype=np.uint64)
 
 
+def _bits(found: np.ndarray) -> np.ndarray:
+    """A set as a bitmap of `SET_BITS` bits: an element that another set's bitmap lacks is no element of that set."""
+    marks = np.zeros(SET_BITS, bool)
+    marks[(found >> np.uint64(16)) % np.uint64(SET_BITS)] = True
+    return np.packbits(marks).view(np.int64)
+
+
+DIGEST = "doc_id long, key long, n long, node long, bits array<long>, block int, counts binary"
+
+
 def _digests(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
+        counts, waiting, held, seen = np.zeros(1 << BUCKET_BITS, np.int64), [], 0, set()
         for batch in batches:
             sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            bits: list = [None] * batch.num_rows  # once a task for equal sets
             for row, found in shingle_sets(batch["text"], shingle):
                 sizes[row], nodes[row] = len(found), _node(found)
+                if len(found) and int(nodes[row]) not in seen:
+                    seen.add(int(nodes[row]))
+                    bits[row] = _bits(found)
                 waiting.append(found >> np.uint64(64 - BUCKET_BITS))
                 held += len(found)
                 if held > 1 << 20:
                     counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
                     waiting, held = [], 0
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes), pa.array(_signed(nodes)), *none],
-                                             ["doc_id", "key", "n", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["key"], pa.array(sizes), pa.array(_signed(nodes)), pa.array(bits, pa.list_(pa.int64())), *none],
+                ["doc_id", "key", "n", "node", "bits", "block", "counts"])
         if waiting:
             counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
         blocks = np.flatnonzero(counts.reshape(-1, BLOCK).any(axis=1))
         empty = pa.nulls(len(blocks), pa.int64())
         if len(blocks):
             packed = [zlib.compress(counts[b * BLOCK: (b + 1) * BLOCK].astype(np.int32).tobytes(), 1) for b in blocks]
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
-                                             ["doc_id", "key", "n", "node", "block", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [empty, empty, empty, empty, pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+                ["doc_id", "key", "n", "node", "bits", "block", "counts"])
 
     return run
 
@@ -334,11 +354,12 @@ def grouped(answers: DataFrame, percent: int) -> DataFrame:
         "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond")), "groups")
 
 
-def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Groups and answers after comparing groups through one member a list, round by round, while that links any.
 
     A large family that the first round leaves in pieces becomes one group here, at a cost in proportion to its entries
-    and not to their pairs. Rounds only save work: what they leave is for `crossing`.
+    and not to their pairs. Rounds only save work, and one in which few pairs are links is the last: what is left is for
+    `crossing`, which is exact without them.
     """
     groups = grouped(answers, percent)
     for _ in range(rounds):
@@ -349,51 +370,99 @@ def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFra
         pairs = _sorted_pairs(_by_centre(stars.where(F.col("kind") == LINK))).distinct().join(_sorted_pairs(answers), ["a", "b"], "left_anti")
         fresh = compare(pairs, sets, rows, shingle)
         answers = answers.union(fresh)
-        if fresh.where(linked(percent)).isEmpty():
+        compared, links = fresh.agg(F.count("*"), F.count_if(linked(percent))).first()
+        if links:
+            groups = grouped(answers, percent)
+        if 10 * links <= compared:
             break
-        groups = grouped(answers, percent)
     return groups, answers
 
 
-def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between sets of different groups that have not been compared; `groups` as from `grouped`."""
+def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between sets of different groups that have not been compared; `groups` as from `grouped`, `maps` has (node, n, bits).
+
+    Lists meet by centre first: a list has one entry for all sets of a centre, with the most room after a position, the smallest
+    size and the most that one of them has beyond the centre. So whole families are skipped at once, and a family costs a list one
+    entry, however large it is. What the centres' bitmaps tell of their overlap rules out most pairs before they are listed; the
+    centres' answers then bound all pairs of their sets. Only sets of pairs of centres that this leaves open meet one by one.
+    """
     about = listed.join(groups, "node", "left").select(
         "token", "size", "pos", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"),
         F.coalesce("beyond", F.lit(0)).alias("beyond"),
     )
+    entries = about.groupBy("token", "centre").agg(
+        F.min("component").alias("component"), F.max(F.col("size") - F.col("pos")).cast("int").alias("room"), F.min("size").cast("int").alias("size"),
+        F.max("beyond").cast("int").alias("beyond"))
     # only lists with sets of more than one group
-    mixed_lists = about.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_lists = materialize(about.join(mixed_lists, "token", "left_semi"), "open-lists")
-    # a block: the entries of a list with equal size, position and group; fit or not, they do so together
-    keyed = open_lists.withColumn("block", F.xxhash64("token", "size", "pos", "component"))
-    blocks = keyed.select("block", "token", "size", "pos", "component").distinct()
-    p = {s: F.col(f"{s}.pos").cast("long") for s in "xz"}
-    n = {s: F.col(f"{s}.size").cast("long") for s in "xz"}
-    room = F.least(n["x"] - p["x"], n["z"] - p["z"])
-    fits = room * F.lit(100 + percent) >= F.lit(percent) * (n["x"] + n["z"])
-    of_blocks = blocks.alias("x").join(
-        blocks.alias("z"), (F.col("x.token") == F.col("z.token")) & (F.col("x.component") < F.col("z.component")) & fits
-    ).select(F.col("x.block").alias("block_x"), F.col("z.block").alias("block_z"))
-    members = lambda s: keyed.select(F.col("block").alias(f"block_{s}"), F.col("node").alias(s))
-    met = materialize(of_blocks.join(members("x"), "block_x").join(members("z"), "block_z").select("x", "z").distinct(), "met")
-    info = open_lists.select("node", "size", "centre", "beyond").distinct()
-    of = lambda s: info.select(F.col("node").alias(s), *[F.col(c).cast("long").alias(f"{c}_{s}") for c in ("size", "centre", "beyond")])
-    pairs = met.join(of("x"), "x").join(of("z"), "z")
-    pairs = materialize(pairs, "crossing")
-    of_centres = pairs.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b")).distinct()
+    mixed_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    list_centres = materialize(entries.join(mixed_lists, "token", "left_semi"), "list-centres")
+    words = SET_BITS // 64
+    mapped = maps.select(F.col("node").alias("centre"), F.col("n").cast("int").alias("n"), *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(words)])
+    entries = list_centres.join(mapped, "centre")
+    lacks = lambda x, z: sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{z}.b{k}")))) for k in range(1, words)),
+                             F.bit_count(F.col(f"{x}.b0").bitwiseAND(F.bitwise_not(F.col(f"{z}.b0")))))
+    total = F.lit(percent) * (F.col("x.size") + F.col("z.size")).cast("long")
+    room = F.least(F.col("x.room"), F.col("z.room")).cast("long") * F.lit(100 + percent) >= total
+    shared = F.least(F.col("x.n") - lacks("x", "z"), F.col("z.n") - lacks("z", "x"))
+    near = (shared + F.col("x.beyond") + F.col("z.beyond")).cast("long") * F.lit(100 + percent) >= total
+    met = entries.alias("x").join(entries.alias("z"), (F.col("x.token") == F.col("z.token")) & (F.col("x.component") < F.col("z.component")) & room & near)
+    of_centres = materialize(met.select(F.col("x.centre").alias("centre_x"), F.col("z.centre").alias("centre_z")).distinct(), "centre-pairs")
     done = _sorted_pairs(answers, "common")
-    fresh = compare(of_centres.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
+    both = of_centres.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b"))
+    fresh = compare(both.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
     overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
-    derived = pairs.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
-    at_most = F.col("common") + F.col("beyond_x") + F.col("beyond_z")
-    open_pairs = derived.where(at_most * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))).where(
-        "NOT (x = centre_x AND z = centre_z)").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
-    rest = compare(open_pairs.join(done, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"), sets, rows, shingle)
-    found = materialize(fresh.union(rest).where(linked(percent)).select("a", "b"), "crossing-links")
-    discard(open_lists, met, pairs, fresh, rest)
+    info = about.select("node", F.col("size").cast("long").alias("size"), "component", "centre", F.col("beyond").cast("long").alias("beyond")).distinct()
+    info = materialize(info, "sets-met")  # of each family
+    # what a centre's answer says of its sets at most
+    family = info.groupBy("centre").agg(F.max("beyond").alias("beyond"), F.min("size").alias("size"), F.count("*").alias("sets"))
+    of = lambda s: family.select(F.col("centre").alias(f"centre_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("beyond", "size", "sets")])
+    known = of_centres.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
+    open_ = (F.col("common") + F.col("beyond_x") + F.col("beyond_z")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))
+    families = known.join(of("x"), "centre_x").join(of("z"), "centre_z").where(open_ & (F.col("sets_x") + F.col("sets_z") > 2))
+    left = materialize(_apart(families.select("centre_x", "centre_z", "common"), answers.union(fresh), percent), "open-centres")
+
+    # each set with the other family's centre: as many comparisons as the families have sets, and closer bounds
+    member = lambda s: info.where("node <> centre").select(
+        F.col("centre").alias(f"centre_{s}"), F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("beyond").alias(f"beyond_{s}"))
+    sizes = lambda s: maps.select(F.col("node").alias(f"centre_{s}"), F.col("n").alias(f"n_{s}"))
+    reach = lambda overlap, n, m: overlap * F.lit(100 + percent) >= F.lit(percent) * (n + m)
+    one = left.join(member("z"), "centre_z").join(sizes("x"), "centre_x").where(reach(F.col("common") + F.col("beyond_z"), F.col("n_x"), F.col("size_z"))).select("centre_x", "z")
+    two = left.join(member("x"), "centre_x").join(sizes("z"), "centre_z").where(reach(F.col("common") + F.col("beyond_x"), F.col("n_z"), F.col("size_x"))).select("centre_z", "x")
+    across = _sorted_pairs(one.toDF("a", "b").union(two.toDF("a", "b"))).distinct()
+    so_far = answers.union(fresh)
+    half = compare(across.join(_sorted_pairs(so_far), ["a", "b"], "left_anti"), sets, rows, shingle)
+    so_far = so_far.union(half)
+    last = materialize(_apart(left, so_far, percent), "still-open")
+
+    # the sets of what is left, one by one where they meet in a list
+    wanted = last.select(F.col("centre_x").alias("centre")).union(last.select("centre_z")).distinct()
+    listed_ = materialize(about.join(wanted, "centre", "left_semi").select("token", "size", "pos", "node", "centre", "beyond"), "open-lists")
+    side = lambda s: listed_.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in listed_.columns])
+    pairs = side("x").join(last, "centre_x").join(side("z"), ["token", "centre_z"])
+    room = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_z") - F.col("pos_z")).cast("long")
+    pairs = pairs.where(reach(room, F.col("size_x"), F.col("size_z")) & reach(F.col("common") + F.col("beyond_x") + F.col("beyond_z"), F.col("size_x"), F.col("size_z")))
+    pairs = pairs.select("node_x", "node_z", "centre_x", "centre_z", "size_x", "size_z", "beyond_x", "beyond_z").distinct()
+    # a set's answer for the other centre, or the centres' own, bounds the pair from either side
+    told = _sorted_pairs(so_far, "common").distinct()
+    for mine, other in (("x", "z"), ("z", "x")):
+        key = pairs.withColumns({"a": F.least(f"node_{mine}", f"centre_{other}"), "b": F.greatest(f"node_{mine}", f"centre_{other}")})
+        pairs = key.join(told.withColumnRenamed("common", f"told_{mine}"), ["a", "b"], "left").drop("a", "b")
+    fine = [F.col(f"told_{s}").isNull() | reach(F.col(f"told_{s}") + F.col(f"beyond_{o}"), F.col("size_x"), F.col("size_z")) for s, o in (("x", "z"), ("z", "x"))]
+    pairs = _sorted_pairs(pairs.where(fine[0] & fine[1]).select(F.col("node_x").alias("a"), F.col("node_z").alias("b"))).distinct()
+    rest = compare(pairs.join(_sorted_pairs(so_far), ["a", "b"], "left_anti"), sets, rows, shingle)
+    found = materialize(fresh.union(half).union(rest).where(linked(percent)).select("a", "b"), "crossing-links")
+    discard(list_centres, of_centres, info, left, last, listed_, fresh, half, rest)
     return found
 
 
+def _apart(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (centre_x, centre_z) those whose sets no chain of links has joined yet."""
+    known = components(answers.where(linked(percent)))
+    label = lambda s: known.select(F.col("node").alias(f"centre_{s}"), F.col("component").alias(f"component_{s}"))
+    both = pairs.join(label("x"), "centre_x", "left").join(label("z"), "centre_z", "left")
+    return both.where("component_x IS NULL OR component_z IS NULL OR component_x <> component_z").drop("component_x", "component_z")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, component (a node, null for empty sets), node (a hash of the set), row_key
     (a hash of key and text).
@@ -403,7 +472,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     key reachable, null keys aside. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("key"), F.col(text).alias("text"))
-    digests = materialize(rows.mapInArrow(_digests(shingle), "doc_id long, key long, n long, node long, block int, counts binary"), "shingle-sets")
+    digests = materialize(rows.mapInArrow(_digests(shingle), DIGEST), "shingle-sets")
     sets = digests.where("block IS NULL").select("doc_id", "key", "n", "node")
     levels = zlib.compress(frequency_levels(digests).tobytes(), 1)
 
@@ -419,7 +488,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     filled = sets.where("n > 0")
     answers = compare(pairs, filled, rows, shingle)
     groups, answers = merged(listed, answers, filled, rows, shingle, percent)
-    more = crossing(listed, groups, answers, filled, rows, shingle, percent)
+    maps = digests.where("bits IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
+    more = crossing(listed, groups, answers, filled, maps, rows, shingle, percent)
     discard(found)
     links = answers.where(linked(percent)).select("a", "b").union(more)
     final = groups.select("node", "component") if more.isEmpty() else components(links)
