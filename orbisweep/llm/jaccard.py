@@ -350,7 +350,7 @@ def grouped(answers: DataFrame, percent: int) -> DataFrame:
     """node, component, centre, beyond (elements of the node that its centre lacks) of all sets with a link."""
     links = answers.where(linked(percent))
     best = links.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((F.col("size_a") - F.col("common")).alias("beyond"), F.col("b").alias("centre"))).alias("s"))
-    return materialize(components(links).join(best, "node", "left").select(
+    return materialize(components(links, combine=True).join(best, "node", "left").select(
         "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond")), "groups")
 
 
@@ -457,7 +457,7 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
 
 def _apart(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
     """Of pairs (centre_x, centre_z) those whose sets no chain of links has joined yet."""
-    known = components(answers.where(linked(percent)))
+    known = components(answers.where(linked(percent)), combine=True)
     label = lambda s: known.select(F.col("node").alias(f"centre_{s}"), F.col("component").alias(f"component_{s}"))
     both = pairs.join(label("x"), "centre_x", "left").join(label("z"), "centre_z", "left")
     return both.where("component_x IS NULL OR component_z IS NULL OR component_x <> component_z").drop("component_x", "component_z")
@@ -492,7 +492,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     more = crossing(listed, groups, answers, filled, maps, rows, shingle, percent)
     discard(found)
     links = answers.where(linked(percent)).select("a", "b").union(more)
-    final = groups.select("node", "component") if more.isEmpty() else components(links)
+    final = groups.select("node", "component") if more.isEmpty() else components(links, combine=True)
 
     placed = materialize(
         sets.where("n > 0").join(final, "node", "left").select("doc_id", "key", "n", "node", F.coalesce("component", "node").alias("component")), "placed")

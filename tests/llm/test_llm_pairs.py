@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,12 +106,34 @@ def test_stars_do_not_depend_on_batches(spark):
     assert np.array(whole).size
 
 
-def test_components_of_chains_and_rings(spark):
+@pytest.mark.parametrize("combine", [False, True])
+def test_components_of_chains_and_rings(spark, monkeypatch, combine):
     rng = random.Random(3)
+    monkeypatch.setattr(components, "EDGES", 16)  # so that combined edges lie in several tasks
     names = [rng.getrandbits(60) for _ in range(90)]
     edges = [(names[i], names[i + 1]) for i in range(59)] + [(names[i], names[60 + (i + 1 - 60) % 30]) for i in range(60, 90)] + [(names[0], names[0])]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    given = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in components.components(given, combine).collect()}
     assert len({got[n] for n in names[:60]}) == 1 and len({got[n] for n in names[60:]}) == 1 and len(set(got.values())) == 2
+    assert components.components(given.where("a = b"), combine).count() == 0
+
+
+def test_combined_edges_connect_what_the_edges_connect(monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)]
+
+    def labels(pairs):
+        label = {n: n for e in edges for n in e}
+        for _ in range(len(label)):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    for size, most in ((250, 1000), (40, 60), (1, 1)):
+        monkeypatch.setattr(components, "EDGES", most)
+        batches = (pa.RecordBatch.from_pydict({c: pa.array([e[i] for e in edges[lo:lo + size]], pa.int64()) for i, c in enumerate("ab")}) for lo in range(0, 250, size))
+        stars = [(r["a"], r["b"]) for b in components._combined(batches) for r in b.to_pylist()]
+        assert labels(stars) == labels(edges)
 
 
 def norm(text):
