@@ -101,3 +101,9 @@ def test_greedy_budget_matches_a_plain_loop(seed):
         used += m if ok else 0.0
         want.append(ok)
     assert B.take_within_budget(masses, budget)[0].tolist() == want
+
+
+def test_a_ramp_holds_its_lower_end_down_to_size_zero(spark):
+    sizes = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, None)], "k int, size double")
+    rows = sizes.select("k", sbm.ramp(sbm.log_size(F.col("size")), *C.AM_MU1).alias("mu")).orderBy("k").collect()
+    assert [r.mu for r in rows] == [C.AM_MU1[1], C.AM_MU1[3], None]
