@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from orbisweep import constants as C
 from orbisweep.functions import kernels
@@ -107,3 +107,36 @@ def test_keys_round_trip(spark):
 def test_golden_section_finds_the_minimum():
     s = kernels.golden_minimum(lambda u: (u - np.array([0.25, 0.8])) ** 2, 2)
     assert s == pytest.approx([0.25, 0.8], abs=1e-7)
+
+
+@pytest.mark.parametrize("times", [1, 60, 3600])
+def test_rows_shuffled_for_an_object_do_not_grow_with_the_catalogue(small, times):
+    """The plan for a catalogue of many times the objects still sends each object to a few regions."""
+    cfg = S.ScreeningConfig(threshold_km=25.0)
+    n = 150_000 * times
+    level = lambda w: Row(objects=float(n), squares=n + n * n * (w / 10_000.0) ** 3, busiest=1.0 + n * (w / 10_000.0) ** 3, copies=1)
+    plan = S.plan_grid({w: level(w) for w in S.PROBE_LEVELS_KM}, DT, cfg)
+    rows, _ = S.region_rows(propagate.step_states(small, C.DEFAULT_EPOCH_JD, DT, 0, 1), DT, cfg, plan)
+    assert rows.count() <= 8 * small.count()
+
+
+def test_regions_of_any_width_find_exactly_the_near_pairs(small, brute, monkeypatch):
+    for held, width in ((2, 100.0), (32_768, 250.0), (50, 5000.0)):
+        monkeypatch.setattr(S, "HELD_ROWS", held)
+        monkeypatch.setattr(S, "PAIR_ROWS", held)
+        assert found(small, S.GridPlan(4, 50.0, False, False, width)) == brute
+
+
+def test_sizes_that_travel_give_the_collisions_of_sizes_looked_up(small):
+    cfg = S.ScreeningConfig(threshold_km=150.0, radius_scale=50_000.0)
+    sizes = F.when(F.col("idx") % 5 != 0, F.col("size_m") * (F.col("idx") % 7))
+    some = small.withColumn("size_m", sizes)
+    got = S.screen(some, C.DEFAULT_EPOCH_JD, DT, 0, 2, cfg)
+    want = S.with_collisions(got.drop("collision"), some, cfg)
+    key = lambda r: (r[:3], str(r[3]))
+    assert sorted(map(key, rows_of(got))) == sorted(map(key, rows_of(want)))
+    assert {r[3] for r in rows_of(got)} == {True, False, None}
+
+
+def rows_of(df):
+    return [(r.step, r.i, r.j, r.collision) for r in df.collect()]
