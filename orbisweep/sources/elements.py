@@ -26,14 +26,36 @@ def _cut(line: Column, field: tuple[int, int]) -> Column:
     return F.trim(F.substring(line, *field))
 
 
-def checksum(line: Column) -> Column:
-    """Sum of the digits of the first 68 columns, a minus sign counting 1, modulo 10."""
-    body = F.substring(line, 1, LINE - 1)
-    count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c)))
-    total = count("-")
-    for digit in range(1, 10):
-        total = total + F.lit(digit) * count(str(digit))
-    return total % 10
+_WORTH = np.array([c - 48 if 48 <= c < 58 else int(c == 45) for c in range(256)], np.int64)
+
+
+@F.arrow_udf(T.IntegerType())
+def checksum(line: pa.Array) -> pa.Array:
+    """Sum of the digits of the first 68 columns, a minus sign counting 1, modulo 10.
+
+    One pass over the bytes of a batch of lines; ten replacements in each line took most of a query's time.
+    """
+    if len(line) == 0:
+        return pa.array([], pa.int32())
+    given = line.is_valid().to_numpy(zero_copy_only=False)
+    text = line.cast(pa.large_string())
+    _, places, octets = text.buffers()
+    place = np.frombuffer(places, np.int64)[text.offset : text.offset + len(text) + 1]
+    octets = np.frombuffer(octets, np.uint8)[: place[-1]] if octets is not None else np.zeros(0, np.uint8)
+    stop = np.minimum(place[:-1] + (LINE - 1), place[1:])
+    if (octets >= 128).any():  # columns are characters, not bytes
+        starts = np.append(np.flatnonzero((octets & 192) != 128), len(octets))
+        after = np.searchsorted(starts, place[:-1]) + (LINE - 1)
+        stop = np.minimum(starts[np.minimum(after, len(starts) - 1)], place[1:])
+    total = np.concatenate(([0], np.cumsum(_WORTH[octets])))
+    return pa.array(((total[stop] - total[place[:-1]]) % 10).astype(np.int32), mask=~given)
+
+
+def _stripped(line: Column) -> Column:
+    """Without white space at the end; the search for it is left out where there is none."""
+    line = F.coalesce(line, F.lit(""))
+    ends = F.substring(line, -1, 1).isin(" ", "\t", "\r", "\n")
+    return F.when(ends, F.rtrim(line, F.lit(" \t\r\n"))).otherwise(line)
 
 
 def catalogue_number(text: Column) -> Column:
@@ -57,7 +79,7 @@ def decode(records: DataFrame, line1: str = "TLE_LINE1", line2: str = "TLE_LINE2
     inclination, node, perigee, anomaly (degrees), eccentricity, motion (turns a day), revolution. It is null unless the status is `ok`; of several
     faults the first of `STATUSES` is named. No row is dropped.
     """
-    a, b = (F.rtrim(F.coalesce(F.col(c), F.lit("")), F.lit(" \t\r\n")) for c in (line1, line2))
+    a, b = (_stripped(F.col(c)) for c in (line1, line2))
     raw = records.withColumn("_lines", F.struct(a.alias("a"), b.alias("b")))
     a, b = F.col("_lines.a"), F.col("_lines.b")
     one = {n: _cut(a, f) for n, f in FIELDS_1.items()}
@@ -90,7 +112,8 @@ def decode(records: DataFrame, line1: str = "TLE_LINE1", line2: str = "TLE_LINE2
         .when(~agrees, "line").when(~sound, "checksum").when(~readable | (F.col("_fields.motion") <= 0), "field").otherwise("ok")
     )
     columns = [F.col(f"`{c}`") for c in records.columns]
-    return parsed.select(*columns, F.when(status == "ok", F.col("_fields")).alias("elements"), status.alias("status"))
+    named = parsed.withColumn("status", status)  # a column of its own: it is read twice
+    return named.select(*columns, F.when(F.col("status") == "ok", F.col("_fields")).alias("elements"), "status")
 
 
 def with_states(decoded: DataFrame, jd_day: Column, jd_fraction: Column) -> DataFrame:

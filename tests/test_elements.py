@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,20 @@ def test_sidereal_time_and_frames(spark):
     assert abs(math.hypot(a["fx"], a["fy"], a["fz"]) - 42164.0) < 1e-3
     with pytest.raises(ValueError):
         geodesy.with_earth_fixed(far, F.lit(0.0), "ecef")
+
+
+def test_checksums_of_odd_lines_and_of_batches_cut_out_of_others(spark):
+    lines = ["", "-9-1", "1" * 80, "é" * 67 + "56", "日本" + "7" * 70, None, " 5 ", "a-" * 40]
+    slow = lambda t: None if t is None else sum(int(c) if c in "0123456789" else c == "-" for c in t[:68]) % 10
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, line string").repartition(1)
+    got = {r.k: r.sum for r in rows.select("k", elements.checksum(F.col("line")).alias("sum")).collect()}
+    assert got == {k: slow(t) for k, t in enumerate(lines)}
+    cut = pa.array(lines).slice(2, 4)
+    assert elements.checksum.func(cut).to_pylist() == [slow(t) for t in lines[2:6]]
+
+
+def test_a_line_is_summed_once(spark, tmp_path):
+    """Sums are the dear part of decoding: two lines, two sums, however often a plan reads them."""
+    rows = spark.createDataFrame([("1 x", "2 y")], "TLE_LINE1 string, TLE_LINE2 string")
+    plan = elements.decode(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("checksum(") in (2, 4) and plan.count("replace(") == 0  # each call, and once more as an output
