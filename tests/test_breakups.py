@@ -147,3 +147,10 @@ def test_row_numbers_and_ranks(spark):
     assert out.where("n <> id / 3").count() == 0
     ranked = ordering.ranked(ids.orderBy(F.xxhash64("id")), ["id"], "n")
     assert ranked.where("n <> id / 3").count() == 0
+
+
+def test_few_small_events_are_dealt_to_many_tasks(spark):
+    """Rows of events are small, each is much work: their bytes must not put them all into one task."""
+    rows = B.with_count(Q._events(spark, "/root/testdata/sf0.01"), Q.BREAKUP)
+    tasks = B.kept_fragments(rows, Q.BREAKUP).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 4
