@@ -107,3 +107,15 @@ def test_a_ramp_holds_its_lower_end_down_to_size_zero(spark):
     sizes = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, None)], "k int, size double")
     rows = sizes.select("k", sbm.ramp(sbm.log_size(F.col("size")), *C.AM_MU1).alias("mu")).orderBy("k").collect()
     assert [r.mu for r in rows] == [C.AM_MU1[1], C.AM_MU1[3], None]
+
+
+def test_interpolated_moon_paths_are_the_moon_at_few_evaluations(monkeypatch):
+    span, jd0 = np.array([5400.0, 43_200.0, 40 * 86_400.0]), C.DEFAULT_EPOCH_JD
+    at = np.linspace(0.0, 1.0, 181)
+    want = np.stack([kernels.moon_position(jd0 + f * span / C.SECONDS_PER_DAY) for f in at])
+    asked = []
+    moon = kernels.moon_position
+    monkeypatch.setattr(kernels, "moon_position", lambda jd: asked.append(np.size(jd)) or moon(jd))
+    got = propagate._moon_paths(jd0, span, 181)
+    assert np.abs(got - want).max() < 1e-4  # km; a Julian date has steps of 4e-5 s, in which the Moon moves as far
+    assert sum(asked) == 2 * propagate.MOON_POINTS + 181
