@@ -11,9 +11,10 @@ at once, and only entries whose position leaves room as the smaller set can open
 *Answer level.* No list produces all its pairs. First every entry is compared only with the first entry before
 it that may be similar, its centre (`stars`). The exact answers give groups. A pair inside a group needs no answer: it is connected
 already. For a pair across groups the answer follows from that of the centres: the overlap of x and z is
-at most that of their centres plus what x and z have beyond them. So lists meet by centre, bitmaps of the centres' sets rule out
-most pairs before they are listed, the centres' answers rule out whole families, a set's answer for the other family's centre most of
-the rest. Only pairs that all this leaves open are compared (`crossing`).
+at most that of their centres plus what x and z have beyond them. So lists meet by centre, two centres in the first list they share
+and not in the many that near copies share; bitmaps of the sets, as long as the sets ask for, rule out most pairs before texts are
+fetched, the centres' answers rule out whole families, a set's answer for the other family's centre most of the rest. Only pairs that
+all this leaves open are compared (`crossing`).
 
 Components are exact: every pair over the threshold is either compared or within one group. Lists of frequent shingles are
 salted, their centres meet in a second round; joins are by key and can be split where keys are hot. Sets are
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, materialize, packed, unpacked
 from .components import components
@@ -36,8 +37,10 @@ from .texts import mixed, shingle_sets
 
 BUCKET_BITS, BLOCK = 20, 4096
 LEVEL_BITS, UNSALTED = 4, 3
-#: Bits of a set's bitmap. Sets that fill it rule nothing out; what is left is compared as ever.
-SET_BITS = 1024
+#: Bits of a set's bitmap for each element, at least: a long set fills none and a short one costs little.
+BITS_EACH = 2
+#: Entries of a centre before one of its own among which a list that two centres meet in earlier is looked for.
+BEFORE = 3
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -52,14 +55,25 @@ def _node(found: np.ndarray) -> np.uint64:
     return mixed(both ^ np.array([0, 1], np.uint64)).sum(dtype=np.uint64)
 
 
-def _bits(found: np.ndarray) -> np.ndarray:
-    """A set as a bitmap of `SET_BITS` bits: an element that another set's bitmap lacks is no element of that set."""
-    marks = np.zeros(SET_BITS, bool)
-    marks[(found >> np.uint64(16)) % np.uint64(SET_BITS)] = True
-    return np.packbits(marks).view(np.int64)
+def _bits(found: np.ndarray) -> bytes:
+    """A set as a bitmap: an element that another set's bitmap lacks is no element of that set. Lengths are powers of two, so that a
+    longer bitmap folds onto a shorter one."""
+    marks = np.zeros(max(64, 1 << (BITS_EACH * len(found) - 1).bit_length()), bool)
+    marks[(found >> np.uint64(16)) % np.uint64(len(marks))] = True
+    return np.packbits(marks).tobytes()
 
 
-DIGEST = "doc_id long, key long, n long, node long, bits array<long>, block int, counts binary"
+def _most_shared(bits_a: bytes, n_a: int, bits_b: bytes, n_b: int) -> int:
+    """The most elements that two sets of n_a and n_b elements with these bitmaps can share."""
+    if len(bits_a) < len(bits_b):
+        bits_a, n_a, bits_b, n_b = bits_b, n_b, bits_a, n_a
+    a, b = (np.frombuffer(x, np.uint64) for x in (bits_a, bits_b))
+    a = a.reshape(-1, len(b))
+    lacks_a, lacks_b = np.bitwise_count(a & ~b).sum(), np.bitwise_count(b & ~np.bitwise_or.reduce(a, axis=0)).sum()
+    return int(min(n_a - lacks_a, n_b - lacks_b))
+
+
+DIGEST = "doc_id long, key long, n long, node long, bits binary, block int, counts binary"
 
 
 def _digests(shingle: int):
@@ -80,7 +94,7 @@ def _digests(shingle: int):
                     waiting, held = [], 0
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["key"], pa.array(sizes), pa.array(_signed(nodes)), pa.array(bits, pa.list_(pa.int64())), *none],
+                [batch["doc_id"], batch["key"], pa.array(sizes), pa.array(_signed(nodes)), pa.array(bits, pa.binary()), *none],
                 ["doc_id", "key", "n", "node", "bits", "block", "counts"])
         if waiting:
             counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
@@ -89,7 +103,7 @@ def _digests(shingle: int):
         if len(blocks):
             packed = [zlib.compress(counts[b * BLOCK: (b + 1) * BLOCK].astype(np.int32).tobytes(), 1) for b in blocks]
             yield pa.RecordBatch.from_arrays(
-                [empty, empty, empty, empty, pa.nulls(len(blocks), pa.list_(pa.int64())), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
+                [empty, empty, empty, empty, pa.nulls(len(blocks), pa.binary()), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())],
                 ["doc_id", "key", "n", "node", "bits", "block", "counts"])
 
     return run
@@ -330,6 +344,22 @@ def compare(pairs: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int) ->
     return answers
 
 
+def possible(pairs: DataFrame, maps: DataFrame, percent: int, a: str = "a", b: str = "b") -> DataFrame:
+    """Of pairs of nodes those that the bitmaps do not rule out; `maps` has (node, n, bits).
+
+    `pairs` may say how small the sets of a pair are (size_a, size_b) and how much they have beyond the nodes' own (beyond).
+    """
+    @F.pandas_udf("long")
+    def most_shared(bits_a: pd.Series, n_a: pd.Series, bits_b: pd.Series, n_b: pd.Series) -> pd.Series:
+        return pd.Series([_most_shared(*row) for row in zip(bits_a, n_a, bits_b, n_b, strict=True)], dtype="int64")
+
+    of = lambda node, s: maps.select(F.col("node").alias(node), F.col("n").alias(f"__n_{s}"), F.col("bits").alias(f"__bits_{s}"))
+    beyond = F.col("beyond") if "beyond" in pairs.columns else F.lit(0)
+    size_a, size_b = (F.col(f"size_{s}" if f"size_{s}" in pairs.columns else f"__n_{s}").cast("long") for s in ("a", "b"))
+    known = pairs.join(of(a, "a"), a).join(of(b, "b"), b).withColumn("__most", most_shared("__bits_a", "__n_a", "__bits_b", "__n_b"))
+    return known.where((F.col("__most") + beyond) * F.lit(100 + percent) >= F.lit(percent) * (size_a + size_b)).select(pairs.columns)
+
+
 def linked(percent: int):
     return F.col("common") * 100 >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("common"))
 
@@ -354,7 +384,7 @@ def grouped(answers: DataFrame, percent: int) -> DataFrame:
         "node", "component", F.coalesce("s.centre", "node").alias("centre"), F.coalesce("s.beyond", F.lit(0)).alias("beyond")), "groups")
 
 
-def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, percent: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Groups and answers after comparing groups through one member a list, round by round, while that links any.
 
     A large family that the first round leaves in pieces becomes one group here, at a cost in proportion to its entries
@@ -368,7 +398,7 @@ def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFra
             "token", F.lit(0).alias("salt"), "m.size", "m.pos", "m.node")
         stars = one.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "pos", "node").mapInArrow(_stars(percent, True), FOUND)
         pairs = _sorted_pairs(_by_centre(stars.where(F.col("kind") == LINK))).distinct().join(_sorted_pairs(answers), ["a", "b"], "left_anti")
-        fresh = compare(pairs, sets, rows, shingle)
+        fresh = compare(possible(pairs, maps, percent), sets, rows, shingle)
         answers = answers.union(fresh)
         compared, links = fresh.agg(F.count("*"), F.count_if(linked(percent))).first()
         if links:
@@ -381,41 +411,43 @@ def merged(listed: DataFrame, answers: DataFrame, sets: DataFrame, rows: DataFra
 def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: DataFrame, maps: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between sets of different groups that have not been compared; `groups` as from `grouped`, `maps` has (node, n, bits).
 
-    Lists meet by centre first: a list has one entry for all sets of a centre, with the most room after a position, the smallest
-    size and the most that one of them has beyond the centre. So whole families are skipped at once, and a family costs a list one
-    entry, however large it is. What the centres' bitmaps tell of their overlap rules out most pairs before they are listed; the
-    centres' answers then bound all pairs of their sets. Only sets of pairs of centres that this leaves open meet one by one.
+    Lists meet by centre first: a list has one entry for all sets of a centre, with the most room that one of them has after it or
+    in a later list, and the smallest size. So whole families are skipped at once, and a family costs a list one entry, however large
+    it is. Room only shrinks from list to list: two centres that meet in one meet in the first they share, and are passed over where
+    the entries just before show an earlier one. What the centres' bitmaps tell of their overlap, with the most that a set has beyond its
+    centre, rules out most of the pairs; the centres' answers then bound all pairs of their sets. Only sets of pairs of centres that
+    this leaves open meet one by one.
     """
     about = listed.join(groups, "node", "left").select(
         "token", "size", "pos", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"),
         F.coalesce("beyond", F.lit(0)).alias("beyond"),
     )
     entries = about.groupBy("token", "centre").agg(
-        F.min("component").alias("component"), F.max(F.col("size") - F.col("pos")).cast("int").alias("room"), F.min("size").cast("int").alias("size"),
-        F.max("beyond").cast("int").alias("beyond"))
+        F.min("component").alias("component"), F.max(F.col("size") - F.col("pos")).cast("int").alias("room"), F.min("size").cast("int").alias("size"))
     # only lists with sets of more than one group
     mixed_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     list_centres = materialize(entries.join(mixed_lists, "token", "left_semi"), "list-centres")
-    words = SET_BITS // 64
-    mapped = maps.select(F.col("node").alias("centre"), F.col("n").cast("int").alias("n"), *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(words)])
-    entries = list_centres.join(mapped, "centre")
-    lacks = lambda x, z: sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{z}.b{k}")))) for k in range(1, words)),
-                             F.bit_count(F.col(f"{x}.b0").bitwiseAND(F.bitwise_not(F.col(f"{z}.b0")))))
-    total = F.lit(percent) * (F.col("x.size") + F.col("z.size")).cast("long")
-    room = F.least(F.col("x.room"), F.col("z.room")).cast("long") * F.lit(100 + percent) >= total
-    shared = F.least(F.col("x.n") - lacks("x", "z"), F.col("z.n") - lacks("z", "x"))
-    near = (shared + F.col("x.beyond") + F.col("z.beyond")).cast("long") * F.lit(100 + percent) >= total
-    met = entries.alias("x").join(entries.alias("z"), (F.col("x.token") == F.col("z.token")) & (F.col("x.component") < F.col("z.component")) & room & near)
-    of_centres = materialize(met.select(F.col("x.centre").alias("centre_x"), F.col("z.centre").alias("centre_z")).distinct(), "centre-pairs")
-    done = _sorted_pairs(answers, "common")
-    both = of_centres.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b"))
-    fresh = compare(both.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
-    overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
+    of_centre = Window.partitionBy("centre")
+    backward = of_centre.orderBy(F.col("token").bitwiseXOR(F.lit(-1 << 63)).desc())  # tokens are unsigned in the global order
+    entries = list_centres.select(
+        "token", "centre", "component", F.max("room").over(backward.rowsBetween(Window.unboundedPreceding, 0)).alias("room"),
+        F.min("size").over(of_centre).alias("size"), F.collect_list("token").over(backward.rowsBetween(1, BEFORE)).alias("before"))
+    room = F.least(F.col("x.room"), F.col("z.room")).cast("long") * F.lit(100 + percent) >= F.lit(percent) * (F.col("x.size") + F.col("z.size")).cast("long")
+    met = entries.alias("x").join(entries.alias("z"), (F.col("x.token") == F.col("z.token")) & (F.col("x.component") < F.col("z.component")) & room
+                                  & ~F.arrays_overlap("x.before", "z.before"))
+    met = materialize(met.select(F.col("x.centre").alias("centre_x"), F.col("z.centre").alias("centre_z")).distinct(), "centres-met")
     info = about.select("node", F.col("size").cast("long").alias("size"), "component", "centre", F.col("beyond").cast("long").alias("beyond")).distinct()
     info = materialize(info, "sets-met")  # of each family
     # what a centre's answer says of its sets at most
     family = info.groupBy("centre").agg(F.max("beyond").alias("beyond"), F.min("size").alias("size"), F.count("*").alias("sets"))
     of = lambda s: family.select(F.col("centre").alias(f"centre_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("beyond", "size", "sets")])
+    bounds = met.join(of("x"), "centre_x").join(of("z"), "centre_z").select(
+        "centre_x", "centre_z", F.col("size_x").alias("size_a"), F.col("size_z").alias("size_b"), (F.col("beyond_x") + F.col("beyond_z")).alias("beyond"))
+    of_centres = materialize(possible(bounds, maps, percent, "centre_x", "centre_z").select("centre_x", "centre_z"), "centre-pairs")
+    done = _sorted_pairs(answers, "common")
+    both = of_centres.select(F.least("centre_x", "centre_z").alias("a"), F.greatest("centre_x", "centre_z").alias("b"))
+    fresh = compare(both.join(done, ["a", "b"], "left_anti"), sets, rows, shingle)
+    overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
     known = of_centres.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
     open_ = (F.col("common") + F.col("beyond_x") + F.col("beyond_z")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))
     families = known.join(of("x"), "centre_x").join(of("z"), "centre_z").where(open_ & (F.col("sets_x") + F.col("sets_z") > 2))
@@ -449,9 +481,9 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
         pairs = key.join(told.withColumnRenamed("common", f"told_{mine}"), ["a", "b"], "left").drop("a", "b")
     fine = [F.col(f"told_{s}").isNull() | reach(F.col(f"told_{s}") + F.col(f"beyond_{o}"), F.col("size_x"), F.col("size_z")) for s, o in (("x", "z"), ("z", "x"))]
     pairs = _sorted_pairs(pairs.where(fine[0] & fine[1]).select(F.col("node_x").alias("a"), F.col("node_z").alias("b"))).distinct()
-    rest = compare(pairs.join(_sorted_pairs(so_far), ["a", "b"], "left_anti"), sets, rows, shingle)
+    rest = compare(possible(pairs.join(_sorted_pairs(so_far), ["a", "b"], "left_anti"), maps, percent), sets, rows, shingle)
     found = materialize(fresh.union(half).union(rest).where(linked(percent)).select("a", "b"), "crossing-links")
-    discard(list_centres, of_centres, info, left, last, listed_, fresh, half, rest)
+    discard(list_centres, met, of_centres, info, left, last, listed_, fresh, half, rest)
     return found
 
 
@@ -486,9 +518,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     listed = found.where(F.col("kind") == LISTED).select("token", "size", "pos", "node")
 
     filled = sets.where("n > 0")
-    answers = compare(pairs, filled, rows, shingle)
-    groups, answers = merged(listed, answers, filled, rows, shingle, percent)
     maps = digests.where("bits IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
+    answers = compare(possible(pairs, maps, percent), filled, rows, shingle)
+    groups, answers = merged(listed, answers, filled, maps, rows, shingle, percent)
     more = crossing(listed, groups, answers, filled, maps, rows, shingle, percent)
     discard(found)
     links = answers.where(linked(percent)).select("a", "b").union(more)

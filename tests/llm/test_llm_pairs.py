@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from orbisweep.llm import components, decontaminate, jaccard, licenses, seeds
@@ -87,6 +89,59 @@ def test_jaccard_of_nothing(spark):
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in one] == [(7, 1, 7)]
 
 
+def test_bitmaps_never_rule_out_a_shared_element():
+    rng = np.random.default_rng(5)
+    for n_a, n_b, common in ((1, 1, 1), (3, 70, 3), (40, 300, 20), (900, 1100, 0), (4500, 4700, 4000), (4500, 5000, 30)):
+        found = rng.integers(0, 1 << 63, n_a + n_b - common, dtype=np.uint64)
+        a, b = found[:n_a], found[n_a - common:]
+        most = jaccard._most_shared(jaccard._bits(a), n_a, jaccard._bits(b), n_b)
+        assert common <= most <= min(n_a, n_b)
+        assert common * 5 > n_a or most < jaccard.need(n_a, n_b, 75)  # whatever the size
+
+
+def test_long_texts_with_a_common_passage_are_not_fetched(spark, monkeypatch):
+    rng, fetched, listed = random.Random(9), [], []
+    texts = [words(rng, 3000, 9000) for _ in range(12)]
+    for a in range(12):  # each two share a passage of their own
+        for b in range(a):
+            passage = words(rng, 40, 9000)
+            texts[a], texts[b] = texts[a] + passage, texts[b] + passage
+    near = texts[0][:2500] + words(rng, 60, 9000) + texts[0][2560:]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, near])], "doc_id long, text string")
+    compare, materialize = jaccard.compare, jaccard.materialize
+
+    def counted(pairs, *more):
+        fetched.append(pairs.count())
+        return compare(pairs, *more)
+
+    def noted(df, label):
+        if label == "centres-met":
+            listed.extend(tuple(r) for r in df.collect())
+        return materialize(df, label)
+
+    monkeypatch.setattr(jaccard, "compare", counted)
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert got == {i: i for i in range(12)} | {12: 0}
+    assert len(listed) > 10  # lists do hold them
+    assert sum(fetched) <= 3
+
+
+def test_near_copies_of_two_groups_meet_in_one_list(spark, monkeypatch):
+    """Texts too far apart for a link share most lists: a pair of centres is met in the first and passed over in the others."""
+    rng, rows = random.Random(4), []
+    for n in range(18):  # six texts, each in three versions; a replaced word breaks five shingles
+        base = words(rng, 400, 9000) if n % 3 == 0 else base
+        at = rng.sample(range(0, 400, 5), 10)
+        rows.append((n, " ".join(f"x{n}" if i in at else w for i, w in enumerate(base))))
+    met = []
+    distinct = DataFrame.distinct
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: (met.append(df.count()) if df.columns == ["centre_x", "centre_z"] else None) or distinct(df))
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows)
+    assert 0 < met[0] <= 3 * 18  # of 18 pairs, which share some 40 lists each
+
+
 def test_stars_do_not_depend_on_batches(spark):
     import numpy as np
     import pyarrow as pa
