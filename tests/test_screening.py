@@ -140,3 +140,44 @@ def test_sizes_that_travel_give_the_collisions_of_sizes_looked_up(small):
 
 def rows_of(df):
     return [(r.step, r.i, r.j, r.collision) for r in df.collect()]
+
+
+def _cloud_states(spark, rng, events=3, rows=300):
+    """Clouds of two parents each 20 s after their breakup, a few rows off their paths, with some other objects among them."""
+    out, idx = [], 0
+    for event in range(events):
+        at = np.array([7000.0 + 400 * event, 10.0, -5.0])
+        for speed, miss in ((np.array([0.0, 7.5, 0.0]), 0.0), (np.array([0.5, 0.0, 7.4]), 2.0)):
+            for k in range(rows):
+                kick = rng.normal(0, 0.1, 3)
+                r = at + miss + 20.0 * (speed + kick) + rng.normal(0, 0.5 if k % 50 == 0 else 1e-3, 3)
+                out.append((idx, *map(float, r), *map(float, speed + kick), True, 1.0, event))
+                idx += 1
+    for _ in range(200):
+        r, v = np.array([7000.0, 150.0, 20.0]) + rng.normal(0, 60, 3), rng.normal(0, 4, 3)
+        out.append((idx, *map(float, r), *map(float, v), True, 1.0, -1))
+        idx += 1
+    return spark.createDataFrame(out, "idx long, x double, y double, z double, vx double, vy double, vz double, alive boolean, size_m double, event long")
+
+
+@pytest.mark.parametrize("block", [50_000, 300])
+def test_fragments_that_fly_apart_are_passed_over_and_nothing_else(spark, monkeypatch, block):
+    objects = _cloud_states(spark, np.random.default_rng(3))
+    states = S.step_states(objects, C.DEFAULT_EPOCH_JD, 60.0, 0, 1, carry=("size_m", "event"))
+    monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    cfg, plan = S.ScreeningConfig(5.0, 1000.0), S.GridPlan(4, 64.0, block < 50_000, False, 256.0)
+    parted, keys = S.region_rows(states, 60.0, cfg, plan)
+    batches, plain = parted.toArrow().combine_chunks().to_batches(), parted.drop("event").toArrow().combine_chunks().to_batches()
+    looked, outcome = [], S._linear_outcome
+    monkeypatch.setattr(S, "_linear_outcome", lambda dr, *more: looked.append(dr.shape[1]) or outcome(dr, *more))
+
+    def pairs(given):
+        looked.clear()
+        found = sorted((int(i), int(j)) for _, a, b, outcomes, *_ in S._near_in_regions(given, keys, 60.0, cfg, plan)
+                       for i, j, o in zip(a, b, outcomes) if S.OUTCOMES[o] == S.REFINE)
+        return found, sum(looked)
+
+    (want, before), (got, after) = pairs(plain), pairs(batches)
+    assert got == want and want
+    if block == 50_000:
+        assert after < before / 4
