@@ -416,7 +416,7 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     it is. Room only shrinks from list to list: two centres that meet in one meet in the first they share, and are passed over where
     the entries just before show an earlier one. What the centres' bitmaps tell of their overlap, with the most that a set has beyond its
     centre, rules out most of the pairs; the centres' answers then bound all pairs of their sets. Only sets of pairs of centres that
-    this leaves open meet one by one.
+    this leaves open meet one by one, and only where the answers of both for the other's centre leave room.
     """
     about = listed.join(groups, "node", "left").select(
         "token", "size", "pos", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"),
@@ -439,8 +439,8 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     info = about.select("node", F.col("size").cast("long").alias("size"), "component", "centre", F.col("beyond").cast("long").alias("beyond")).distinct()
     info = materialize(info, "sets-met")  # of each family
     # what a centre's answer says of its sets at most
-    family = info.groupBy("centre").agg(F.max("beyond").alias("beyond"), F.min("size").alias("size"), F.count("*").alias("sets"))
-    of = lambda s: family.select(F.col("centre").alias(f"centre_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("beyond", "size", "sets")])
+    family = info.groupBy("centre").agg(F.max("beyond").alias("beyond"), F.min("size").alias("size"), F.count_if(F.col("node") != F.col("centre")).alias("others"))
+    of = lambda s: family.select(F.col("centre").alias(f"centre_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("beyond", "size", "others")])
     bounds = met.join(of("x"), "centre_x").join(of("z"), "centre_z").select(
         "centre_x", "centre_z", F.col("size_x").alias("size_a"), F.col("size_z").alias("size_b"), (F.col("beyond_x") + F.col("beyond_z")).alias("beyond"))
     of_centres = materialize(possible(bounds, maps, percent, "centre_x", "centre_z").select("centre_x", "centre_z"), "centre-pairs")
@@ -450,7 +450,7 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     overlap = done.select("a", "b", "common").union(fresh.select("a", "b", "common")).distinct()
     known = of_centres.withColumns({"a": F.least("centre_x", "centre_z"), "b": F.greatest("centre_x", "centre_z")}).join(overlap, ["a", "b"])
     open_ = (F.col("common") + F.col("beyond_x") + F.col("beyond_z")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("size_x") + F.col("size_z"))
-    families = known.join(of("x"), "centre_x").join(of("z"), "centre_z").where(open_ & (F.col("sets_x") + F.col("sets_z") > 2))
+    families = known.join(of("x"), "centre_x").join(of("z"), "centre_z").where(open_ & (F.col("others_x") + F.col("others_z") > 0))
     left = materialize(_apart(families.select("centre_x", "centre_z", "common"), answers.union(fresh), percent), "open-centres")
 
     # each set with the other family's centre: as many comparisons as the families have sets, and closer bounds
@@ -466,24 +466,22 @@ def crossing(listed: DataFrame, groups: DataFrame, answers: DataFrame, sets: Dat
     so_far = so_far.union(half)
     last = materialize(_apart(left, so_far, percent), "still-open")
 
-    # the sets of what is left, one by one where they meet in a list
-    wanted = last.select(F.col("centre_x").alias("centre")).union(last.select("centre_z")).distinct()
-    listed_ = materialize(about.join(wanted, "centre", "left_semi").select("token", "size", "pos", "node", "centre", "beyond"), "open-lists")
-    side = lambda s: listed_.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in listed_.columns])
-    pairs = side("x").join(last, "centre_x").join(side("z"), ["token", "centre_z"])
-    room = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_z") - F.col("pos_z")).cast("long")
-    pairs = pairs.where(reach(room, F.col("size_x"), F.col("size_z")) & reach(F.col("common") + F.col("beyond_x") + F.col("beyond_z"), F.col("size_x"), F.col("size_z")))
-    pairs = pairs.select("node_x", "node_z", "centre_x", "centre_z", "size_x", "size_z", "beyond_x", "beyond_z").distinct()
-    # a set's answer for the other centre, or the centres' own, bounds the pair from either side
-    told = _sorted_pairs(so_far, "common").distinct()
-    for mine, other in (("x", "z"), ("z", "x")):
-        key = pairs.withColumns({"a": F.least(f"node_{mine}", f"centre_{other}"), "b": F.greatest(f"node_{mine}", f"centre_{other}")})
-        pairs = key.join(told.withColumnRenamed("common", f"told_{mine}"), ["a", "b"], "left").drop("a", "b")
-    fine = [F.col(f"told_{s}").isNull() | reach(F.col(f"told_{s}") + F.col(f"beyond_{o}"), F.col("size_x"), F.col("size_z")) for s, o in (("x", "z"), ("z", "x"))]
-    pairs = _sorted_pairs(pairs.where(fine[0] & fine[1]).select(F.col("node_x").alias("a"), F.col("node_z").alias("b"))).distinct()
+    # the sets of what is left: x and z share at most what x shares with the centre of z and what z has beyond it, and the other way round
+    told = _sorted_pairs(so_far, F.col("common").alias("told")).distinct()
+
+    def side(s: str, other: str) -> DataFrame:
+        own = info.select(F.col("centre").alias(f"centre_{s}"), F.col("node").alias(f"node_{s}"), "size", "beyond")
+        each = last.join(own, f"centre_{s}").withColumns({"a": F.least(f"node_{s}", f"centre_{other}"), "b": F.greatest(f"node_{s}", f"centre_{other}")})
+        most = F.coalesce("told", F.col("common") + F.col("beyond"))
+        less = lambda shared: shared * F.lit(100 + percent) - F.lit(percent) * F.col("size")
+        return each.join(told, ["a", "b"], "left").select(
+            "centre_x", "centre_z", f"node_{s}", less(most).alias(f"has_{s}"), less(F.col("beyond")).alias(f"lends_{s}"))
+
+    pairs = side("x", "z").join(side("z", "x"), ["centre_x", "centre_z"]).where("has_x + lends_z >= 0 AND has_z + lends_x >= 0")
+    pairs = _sorted_pairs(pairs.select(F.col("node_x").alias("a"), F.col("node_z").alias("b"))).distinct()
     rest = compare(possible(pairs.join(_sorted_pairs(so_far), ["a", "b"], "left_anti"), maps, percent), sets, rows, shingle)
     found = materialize(fresh.union(half).union(rest).where(linked(percent)).select("a", "b"), "crossing-links")
-    discard(list_centres, met, of_centres, info, left, last, listed_, fresh, half, rest)
+    discard(list_centres, met, of_centres, info, left, last, fresh, half, rest)
     return found
 
 

@@ -142,6 +142,54 @@ def test_near_copies_of_two_groups_meet_in_one_list(spark, monkeypatch):
     assert 0 < met[0] <= 3 * 18  # of 18 pairs, which share some 40 lists each
 
 
+def test_families_that_stay_apart_meet_by_their_answers(spark, monkeypatch):
+    """Families just below the threshold: a pair of centres brings the sets of both, not all their entries in lists."""
+    rng, rows = random.Random(6), []
+    base = words(rng, 400, 9000)
+    for family in range(3):
+        own = [f"a{family}" if family and i % 32 == 16 * family - 8 else w for i, w in enumerate(base)]  # J = 0.72 and 0.74 with the first
+        for n in range(8):
+            at = rng.sample(range(5, 400, 16), 2)
+            rows.append((8 * family + n, " ".join(f"x{family}-{n}" if i in at else w for i, w in enumerate(own))))
+    made = []
+    join = DataFrame.join
+    monkeypatch.setattr(jaccard, "frequency_levels", lambda digests: np.zeros(1 << jaccard.BUCKET_BITS, np.uint8))  # no list counts as frequent
+
+    def counted(df, other, on=None, how=None):
+        out = join(df, other, on, how)
+        if isinstance(on, str) and on == "centre_x" and "centre_z" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == brute_components(rows)
+    assert 0 < max(made) <= 3 * len(rows)
+
+
+def test_a_set_whose_centre_has_a_centre_of_its_own_is_compared(spark):
+    """x has centre y, y has centre w; z is like x only. The family of y is x alone, that of z is z alone."""
+    rng = random.Random(8)
+    w = words(rng, 204, 9000)
+    edit = lambda base, mark, at: [f"{mark}{i}" if i in at else v for i, v in enumerate(base)]
+    y = edit(w, "y", range(3, 20, 8))
+    x = edit(y, "x", range(33, 64, 8))
+    z = edit(x, "z", range(83, 114, 8))
+    sets = [{hash(s) & (1 << 60) - 1 for s in shingles(" ".join(t))} for t in (w, y, x, z)]
+    similar = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    assert similar(sets[2], sets[3]) and not similar(sets[1], sets[3])
+    order = lambda s: sorted(s)[: len(s) - -(-75 * len(s) // 100) + 1]
+    listed = spark.createDataFrame([(t, len(s), i, n) for n, s in enumerate(sets) for i, t in enumerate(order(s))], "token long, size int, pos int, node long")
+    beyond = lambda a, b: len(sets[a] - sets[b])
+    groups = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 0, beyond(1, 0)), (2, 0, 1, beyond(2, 1))], "node long, component long, centre long, beyond long")
+    answers = spark.createDataFrame([(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a, b in ((1, 0), (2, 1))],
+                                    "a long, b long, size_a long, size_b long, common long")
+    rows = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate((w, y, x, z))], "key long, text string")
+    maps = spark.createDataFrame([(n, len(s), jaccard._bits(np.array(sorted(s), np.uint64))) for n, s in enumerate(sets)], "node long, n long, bits binary")
+    found = jaccard.crossing(listed, groups, answers, rows.select(F.col("key").alias("node"), "key"), maps, rows, 5, 75).collect()
+    assert (2, 3) in [tuple(r) for r in found]
+
+
 def test_stars_do_not_depend_on_batches(spark):
     import numpy as np
     import pyarrow as pa
