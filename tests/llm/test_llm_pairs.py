@@ -359,3 +359,46 @@ def test_short_items_are_found_word_for_word(spark, monkeypatch, limit):
     want = [(n, n, 20, 19 + n, n, 0) for n in range(1, 8)] + [(202, 1, 0, 0, 1, 0)] * 2 + [(203, 1, 20_000, 20_000, 1, 0)]
     assert seen == sorted(want)
     assert [(r["doc_id"], r["matched"]) for r in got.where("item_id IS NULL").collect()] == [(200, 3)]
+
+
+def _passages(spark):
+    rng = random.Random(31)
+    items = [(i, " ".join(words(rng, rng.randrange(8, 30), 400))) for i in range(40)]
+    items += [(100, items[3][1]), (100, items[3][1]), (None, items[3][1]), (101, items[5][1].upper()), (102, "zz yy"), (103, None)]
+    docs = []
+    for d in range(60):
+        own = words(rng, rng.randrange(5, 60), 400)
+        own[len(own) // 2: len(own) // 2] = items[d % 40][1].split()
+        docs.append((d, " ".join(own), 1))
+    docs += [(3, docs[3][1], 2), (None, docs[4][1], 3), (None, docs[4][1], 3), (70, None, 4), (71, " ".join(words(rng, 3000, 10**6)) + " " + items[7][1] + " zz yy", 5)]
+    return spark.createDataFrame(docs, "doc_id long, text string, shift int").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_large_and_small_test_sets_give_the_same_passages(spark, monkeypatch):
+    docs, items = _passages(spark)
+    rows = lambda: sorted((tuple(r) for r in decontaminate.overlaps(docs, items).collect()), key=repr)
+    few = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert rows() == few and len(few) > 70
+    monkeypatch.setattr(decontaminate, "BITMAP_WORDS", 1)  # a full bitmap
+    assert rows() == few
+    assert {r[1] for r in few if r[0] == 3} >= {3, 100, None}  # items of equal text each on their own
+
+
+def test_no_words_of_a_text_are_shuffled_for_its_positions(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    docs, items = _passages(spark)
+    frames, write = [], type(docs.write).parquet
+
+    def parquet(self, *a, **k):
+        frames.append(self._df)
+        return write(self, *a, **k)
+
+    monkeypatch.setattr(type(docs.write), "parquet", parquet)
+    frames.append(decontaminate.overlaps(docs, items))
+    dealt = []
+    for frame in frames:
+        steps = spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted").split("\n\n")
+        dealt += [x for x in steps if ") Exchange" in x]
+    assert any("seed#" in x for x in dealt)
+    assert not [x for x in dealt if "dw#" in x]
