@@ -1,6 +1,7 @@
 """Screening against comparing everything with everything."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -181,3 +182,57 @@ def test_fragments_that_fly_apart_are_passed_over_and_nothing_else(spark, monkey
     assert got == want and want
     if block == 50_000:
         assert after < before / 4
+
+
+@pytest.mark.parametrize("swept,width,blocks", [(1, 512.0, False), (4, 300.0, False), (24, 5000.0, False), (4, 5000.0, True)])
+def test_columns_find_exactly_the_near_pairs(small, brute, monkeypatch, swept, width, blocks):
+    monkeypatch.setattr(S, "SWEPT_ROWS", 50)
+    monkeypatch.setattr(S, "PAIR_ROWS", 50)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 30 if blocks else 50_000)
+    assert found(small, S.GridPlan(4, 50.0, blocks, False, width, swept)) == brute
+
+
+def _dense(rng, rows, fast):
+    """One step of a dense catalogue with some rows of another speed, in batches of one region."""
+    r, v = rng.uniform(7000.0, 7500.0, (3, rows)), rng.normal(0, 1, (3, rows))
+    v *= 7.5 / np.sqrt((v * v).sum(axis=0))
+    v[:, :fast] *= 4
+    one = np.full(rows, 0)
+    for _ in range(3):
+        one = (one << C.KEY_BITS) | (7 + C.KEY_OFFSET)
+    table = {"region": one, "step": np.zeros(rows, np.int32), "idx": np.arange(rows), **dict(zip(STATE, [*r, *v]))}
+    return [pa.RecordBatch.from_arrays([pa.array(c) for c in table.values()], list(table))]
+
+
+@pytest.mark.parametrize("fast", [0, 2])
+def test_dense_rows_are_compared_in_columns_with_few_others(monkeypatch, fast):
+    batches, cfg = _dense(np.random.default_rng(5), 4000, fast), S.ScreeningConfig(25.0)
+    looked, outcome = [], S._linear_outcome
+    monkeypatch.setattr(S, "_linear_outcome", lambda dr, *more: looked.append(dr.shape[1]) or outcome(dr, *more))
+
+    def pairs(swept):
+        looked.clear()
+        plan = S.GridPlan(8, 64.0, False, False, 1024.0, swept)
+        return sorted((int(i), int(j), int(o)) for _, a, b, o, *_ in S._near_in_regions(batches, ["step", "region"], DT, cfg, plan) for i, j, o in zip(a, b, o)), sum(looked)
+
+    (want, boxes), (got, columns) = pairs(0), pairs(8)
+    assert got == want and len(want) > 500
+    assert fast or columns < 0.7 * boxes
+
+
+def test_a_denser_catalogue_is_swept_in_shorter_sub_intervals():
+    level = lambda n, w: Row(level=w, objects=n, squares=n * (1 + n * w**3 / 1e12), busiest=10, copies=1)
+    plan = lambda n, clouds=False: S.plan_grid({w: level(n, w) for w in S.PROBE_LEVELS_KM}, DT, S.ScreeningConfig(25.0), clouds)
+    assert 1 < plan(150_000).swept < plan(50_000_000).swept
+    assert plan(50_000_000, True).swept == 0
+
+
+def test_the_nearest_place_of_a_curve_is_that_of_golden_section():
+    rng, n = np.random.default_rng(8), 5000
+    p0 = rng.normal(size=(3, n)) * 300
+    m0 = -p0 * rng.uniform(0.2, 3, n) + rng.normal(size=(3, n)) * 20
+    bend = rng.choice([0.0, 0.5, 5.0, 80.0], n)
+    p1, m1 = p0 + m0 + rng.normal(size=(3, n)) * bend, m0 + rng.normal(size=(3, n)) * bend
+    p0[:, 0] = m0[:, 0] = p1[:, 0] = m1[:, 0] = 1.0  # stands still, then bends
+    want = kernels.golden_minimum(lambda s: (kernels.hermite(p0, m0, p1, m1, s) ** 2).sum(axis=0), n)
+    assert np.abs(kernels.curve_minimum(p0, m0, p1, m1) - want).max() < 1e-7
